@@ -72,6 +72,9 @@ def solve(rows: DataFrame) -> DataFrame:
         ratio = F.when((value > 0) & (to > 0), F.log(value / to))
         return F.coalesce(F.pow(ratio / spread, 2), F.when(value.isNull() | to.isNull(), 0.0).otherwise(1e6))
 
+    def differs(i: int):
+        return lambda way: way["units"][i] != F.col("best.units")[i]
+
     temperatures = [v for v, (d, _, _) in QUANTITIES.items() if d == "temperature"]
     blocks = [temperatures, *[[v] for v in QUANTITIES if v not in temperatures]]
     parts = []
@@ -84,7 +87,7 @@ def solve(rows: DataFrame) -> DataFrame:
             ways.append(F.struct(F.round(cost, 9).alias("cost"), F.array(*[F.lit(u) for u in units]).alias("units")))
         best = reports.withColumn("ways", F.array(*ways)).withColumn("best", F.array_min("ways"))
         for i, v in enumerate(block):
-            rival = F.array_min(F.transform(F.filter("ways", lambda w, i=i: w["units"][i] != F.col("best.units")[i]), lambda w: w["cost"]))
+            rival = F.array_min(F.transform(F.filter("ways", differs(i)), lambda w: w["cost"]))
             parts.append(best.filter(F.col(f"free{v}").isNotNull()).select("_u_report", F.lit(v).alias("_u_variable"), F.col("best.units")[i].alias("_u_solved"), (rival - F.col("best.cost") > MARGIN).alias("_u_unique")))
     out = parts[0]
     for p in parts[1:]:
