@@ -160,7 +160,7 @@ def flagged(observations: DataFrame, elements: DataFrame, chunk: int = CHUNK) ->
     doubtful = parts.filter(F.col("outside") | F.col("stuck") | (F.col("r") != 0))
     tested = doubtful.join(limits, "s").join(seasonal, ["s", "hour"], "left")
     long = F.col("n") >= FEWEST
-    candidate = F.abs(F.col("r") - F.coalesce("season", F.lit(0.0))) >= F.col("esd_limit")
+    candidate = F.round(F.abs(F.col("r") - F.coalesce("season", F.lit(0.0))), 6) >= F.col("esd_limit")
     exact = F.abs("r") > F.round(TIMES * F.col("median_change"), 6)
     kind = F.when(F.col("outside"), "impossible").when(long & F.col("stuck"), "stuck").when(long & candidate & exact & (F.col("r") != 0), "spike")
     return tested.select("row_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
