@@ -46,11 +46,11 @@ refs AS (
   SELECT DISTINCT 'cdm_header', row_id, nullif(upper(trim(x)), ''), loaded_at, date_trunc('month', report_timestamp)::date, NULL::double
   FROM (SELECT row_id, loaded_at, report_timestamp, unnest(duplicates) AS x FROM cdm_header)),
 heads AS (SELECT upper(trim(report_id)) AS id, min(loaded_at) AS first_load, max(loaded_at) AS last_load FROM cdm_header GROUP BY 1),
-gone AS (SELECT upper(trim(report_id)) AS id, max(deleted_at) AS at FROM header_deletions GROUP BY 1),
+gone AS (SELECT upper(trim(report_id)) AS id, max(deleted_at) AS withdrawn FROM header_deletions GROUP BY 1),
 orphans AS (
   SELECT * FROM (
     SELECT ref_table, row_id, ref_id, month, value,
-      CASE WHEN g.id IS NOT NULL AND (h.id IS NULL OR h.last_load <= g.at) THEN 'deleted'
+      CASE WHEN g.id IS NOT NULL AND (h.id IS NULL OR h.last_load <= g.withdrawn) THEN 'deleted'
            WHEN h.id IS NULL THEN 'missing' WHEN h.first_load > r.loaded_at THEN 'late' END AS kind
     FROM refs r LEFT JOIN heads h ON h.id = r.ref_id LEFT JOIN gone g ON g.id = r.ref_id WHERE r.ref_id IS NOT NULL)
   WHERE kind IS NOT NULL)
