@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_duplicates
+from tidemark.llm import near_duplicates, packing, residue, survivors, token_ids
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,45 @@ def p2_found(reports):
 def p2_groups(reports):
     """One row per report with its class of exact copies, its links and its group."""
     return near_duplicates.groups(reports)
+
+
+def _p7_sql() -> str:
+    parts = ["(coalesce(trim(core_id), '') NOT IN ('', '999.9'))::int"]
+    parts += [f"({f} IS NOT NULL AND {f} <> 999.9{' AND core_slp <> 9999.9' if f == 'core_slp' else ''})::int" for f in survivors.FIELDS[1:]]
+    return f"""WITH t AS (SELECT row_id, c98_uid, coalesce(trust, -1) AS trust, coalesce(received_at, timestamp '0001-01-01') AS seen, {' + '.join(parts)} AS n
+  FROM reports LEFT JOIN decks ON c1_dck = dck AND c1_sid = sid WHERE c98_uid IS NOT NULL),
+g AS (SELECT c98_uid, max(trust) AS mt, max(seen) AS ms, max(n) AS mn, count(*) AS k FROM t GROUP BY 1)
+SELECT 'ICOADS-30-' || c98_uid AS report_id, min(row_id) AS row_id FROM t JOIN g USING (c98_uid)
+WHERE k > 1 AND trust = mt AND seen = ms AND n = mn GROUP BY c98_uid HAVING count(*) = 1"""
+
+
+@query("reports", "decks", sql=_p7_sql())
+def p7_found(reports, decks):
+    return survivors.found(reports, decks)
+
+
+@query("reports", "decks")
+def p7_best_reports(reports, decks):
+    """One record per report id of several rows, gaps filled from successive layers of dominance."""
+    return survivors.best_reports(reports, decks)
+
+
+@query("documents")
+def p8_ids(documents):
+    return token_ids.encode(documents)
+
+
+@query("documents", "containers")
+def p9_containers(documents, containers):
+    return packing.pack(documents, containers)
+
+
+@query("documents")
+def p10_found(documents):
+    return residue.found(documents)
+
+
+@query("documents")
+def p10_templates(documents):
+    """Induced templates of suspicious segments, with their records and fillings."""
+    return residue.templates(documents)
