@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.units import TO_COMMON, code_unit, dimension, read_unit, to_common, units_of
+from tidemark.functions.units import COMMON, TO_COMMON, code_unit, dimension, read_unit, to_common, units_of
 from tidemark.session import small
 
 # The quantities of a report, their anchors in common units and the spread of the logarithm around them.
@@ -29,22 +29,27 @@ MARGIN = 2.0  # of squared residuals, in units of their spread: less than that a
 
 
 def element_units(elements: DataFrame) -> DataFrame:
-    """One row per (imodel, element): its unit text and limits. Sections that share an element's name share the first."""
+    """One row per (imodel, element) and dimension: its unit and limits, as they are and in common units. Sections that
+    share an element's name share the first. The texts are read here, once an element."""
     by = elements.groupBy("imodel", "element").agg(F.min(F.struct("section", "units", "valid_min", "valid_max")).alias("e"))
-    return by.select(F.col("imodel").alias("_u_imodel"), F.col("element").alias("_u_element"), F.col("e.units").alias("_u_etext"), F.col("e.valid_min").alias("_u_min"), F.col("e.valid_max").alias("_u_max"))
+    of = by.select("imodel", "element", "e.*", F.explode(F.array(*map(F.lit, COMMON))).alias("dim"))
+    of = of.withColumn("unit", read_unit(F.col("units"), F.col("dim")))
+    return of.select(
+        F.col("imodel").alias("_u_imodel"), F.col("element").alias("_u_element"), F.col("dim").alias("_u_edim"), F.col("unit").alias("_u_eunit"), F.col("valid_min").alias("_u_rawmin"), F.col("valid_max").alias("_u_rawmax"),
+        to_common(F.col("valid_min"), F.col("unit")).alias("_u_emin"), to_common(F.col("valid_max"), F.col("unit")).alias("_u_emax"),
+    )
 
 
 def stated_units(observations: DataFrame, elements: DataFrame) -> DataFrame:
-    """Add `_u_dim`, `_u_stated` (the unit stated by code, text or element), `_u_eunit`, `_u_min` and `_u_max` (of the element, in its unit)."""
+    """Add `_u_dim`, `_u_stated` (the unit stated by code, text or element) and the element's unit and limits."""
     if taken := [c for c in observations.columns if c.startswith("_u_")]:
         raise ValueError(f"reserved column names: {taken}")
+    out = observations.withColumn("_u_dim", dimension(F.col("observed_variable")))
+    dim, text = F.col("_u_dim"), F.col("units_text")
     of = small(element_units(elements))
-    out = observations.join(of, (F.col("imodel") == F.col("_u_imodel")) & (F.col("element") == F.col("_u_element")), "left")
-    out = out.withColumn("_u_dim", dimension(F.col("observed_variable")))
-    dim = F.col("_u_dim")
-    out = out.withColumn("_u_eunit", read_unit(F.col("_u_etext"), dim))
-    stated = F.coalesce(code_unit(F.col("units"), dim), read_unit(F.col("units_text"), dim), F.col("_u_eunit"))
-    return out.withColumn("_u_stated", stated).drop("_u_imodel", "_u_element", "_u_etext")
+    out = out.join(of, (F.col("imodel") == F.col("_u_imodel")) & (F.col("element") == F.col("_u_element")) & (dim == F.col("_u_edim")), "left")
+    stated = F.coalesce(code_unit(F.col("units"), dim), F.when(text.isNotNull(), read_unit(text, dim)), F.col("_u_eunit"))
+    return out.withColumn("_u_stated", stated).drop("_u_imodel", "_u_element", "_u_edim")
 
 
 def _common(value: Column, unit: str) -> Column:
@@ -111,9 +116,10 @@ def resolve_units(observations: DataFrame, elements: DataFrame) -> DataFrame:
     unit = F.when(F.col("observation_value").isNotNull(), F.coalesce("_u_stated", "_u_solved"))
     basis = F.when(unit.isNull(), None).when(F.col("_u_stated").isNotNull(), "stated").when(F.col("_u_unique"), "solved").otherwise("not unique")
     rows = rows.withColumns({"_u_unit": unit, "_u_basis": basis})
-    eunit = F.coalesce("_u_eunit", "_u_unit")
-    lows, highs = to_common(F.col("_u_min"), eunit), to_common(F.col("_u_max"), eunit)
-    return rows.withColumns({"_u_value": to_common(F.col("observation_value"), F.col("_u_unit")), "_u_min": lows, "_u_max": highs}).drop("_u_eunit", "_u_stated", "_u_solved", "_u_unique")
+    # limits of an element without a unit are in that of the row
+    lows, highs = F.coalesce("_u_emin", to_common(F.col("_u_rawmin"), F.col("_u_unit"))), F.coalesce("_u_emax", to_common(F.col("_u_rawmax"), F.col("_u_unit")))
+    rows = rows.withColumns({"_u_value": to_common(F.col("observation_value"), F.col("_u_unit")), "_u_min": lows, "_u_max": highs})
+    return rows.drop("_u_eunit", "_u_stated", "_u_solved", "_u_unique", "_u_rawmin", "_u_rawmax", "_u_emin", "_u_emax")
 
 
 def found(observations: DataFrame, elements: DataFrame) -> DataFrame:
