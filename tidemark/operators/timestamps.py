@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import bind
 from tidemark.session import small
 
 # Civil abbreviations that stand for one offset, in minutes east of Greenwich.
@@ -53,12 +54,6 @@ def _map(pairs: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns behind a one-row generator: they are computed once a row, and neither projections nor filters above
-    are merged into them, which would multiply long expressions."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def offset_minutes(zone: Column) -> Column:
     """Minutes east of Greenwich that a zone text states ('Z', 'CET', '+0530', 'GMT-03:30', 'UTC+2'), else null."""
     z = F.upper(F.trim(zone))
