@@ -93,11 +93,11 @@ def header_references(observations: DataFrame, header: DataFrame) -> DataFrame:
     def ntz(c: str) -> Column:
         return F.col(c).cast("timestamp_ntz")
 
-    obs = observations.select(F.lit("observations").alias("ref_table"), "row_id", clean_id(F.col("report_id")).alias("_id"), ntz("loaded_at").alias("seen"), F.date_trunc("month", ntz("date_time")).cast("date").alias("month"), F.col("observation_value").alias("value"))
+    obs = observations.select(F.lit("observations").alias("ref_table"), "row_id", clean_id(F.col("report_id")).alias("_id"), ntz("loaded_at").alias("seen"), F.date_format(ntz("date_time"), "yyyy-MM").alias("month"), F.col("observation_value").alias("value"))
     # only an array can name an id twice in a row
     ids = F.array_distinct(F.transform("duplicates", clean_id))
     named = header.select("row_id", "loaded_at", "report_timestamp", F.explode(ids).alias("_raw"))
-    dup = named.select(F.lit("cdm_header").alias("ref_table"), "row_id", F.col("_raw").alias("_id"), ntz("loaded_at").alias("seen"), F.date_trunc("month", ntz("report_timestamp")).cast("date").alias("month"), F.lit(None).cast("double").alias("value"))
+    dup = named.select(F.lit("cdm_header").alias("ref_table"), "row_id", F.col("_raw").alias("_id"), ntz("loaded_at").alias("seen"), F.date_format(ntz("report_timestamp"), "yyyy-MM").alias("month"), F.lit(None).cast("double").alias("value"))
     return obs.unionByName(dup)
 
 

@@ -41,9 +41,9 @@ def p1_zone_histories(reports, decks):
 
 P3_REFERENCES = """
 refs AS (
-  SELECT 'observations' AS ref_table, row_id, nullif(upper(trim(report_id)), '') AS ref_id, loaded_at, date_trunc('month', date_time)::date AS month, observation_value AS value FROM observations
+  SELECT 'observations' AS ref_table, row_id, nullif(upper(trim(report_id)), '') AS ref_id, loaded_at, strftime(date_time, '%Y-%m') AS month, observation_value AS value FROM observations
   UNION ALL
-  SELECT DISTINCT 'cdm_header', row_id, nullif(upper(trim(x)), ''), loaded_at, date_trunc('month', report_timestamp)::date, NULL::double
+  SELECT DISTINCT 'cdm_header', row_id, nullif(upper(trim(x)), ''), loaded_at, strftime(report_timestamp, '%Y-%m'), NULL::double
   FROM (SELECT row_id, loaded_at, report_timestamp, unnest(duplicates) AS x FROM cdm_header)),
 heads AS (SELECT upper(trim(report_id)) AS id, min(loaded_at) AS first_load, max(loaded_at) AS last_load FROM cdm_header GROUP BY 1),
 gone AS (SELECT upper(trim(report_id)) AS id, max(deleted_at) AS withdrawn FROM header_deletions GROUP BY 1),
@@ -67,7 +67,31 @@ def p3_by_period(observations, header, deletions):
     return references.by_period(observations, header, deletions)
 
 
-@query("observations", "elements")
+def _text_unit(text: str) -> str:
+    """SQL of the unit that a text names, by what its spellings have in common."""
+    t = f"lower({text})"
+    return f"""CASE dim
+      WHEN 'T' THEN CASE WHEN {t} IN ('k', 'kelvin', 'deg k') THEN 'K' WHEN {t} LIKE '%f' OR {t} LIKE '%fahr%' THEN 'degF' WHEN regexp_matches({t}, 'tenth|0[.,]1|1/10|x 10|\\*10') THEN '0.1degC' ELSE 'degC' END
+      WHEN 'P' THEN CASE WHEN {t} IN ('pa', 'pascal') THEN 'Pa' WHEN {t} LIKE 'in%' THEN 'inHg' WHEN {t} LIKE 'mm%' OR {t} LIKE 'torr' OR {t} LIKE 'millim%' THEN 'mmHg' WHEN regexp_matches({t}, 'tenth|0[.,]1|1/10|x 10|\\*10') THEN '0.1hPa' ELSE 'hPa' END
+      WHEN 'S' THEN CASE WHEN {t} IN ('m/s', 'm s-1', 'mps', 'metres per second') THEN 'm/s' WHEN {t} LIKE 'kn%' OR {t} LIKE 'kt%' THEN 'kn' WHEN {t} LIKE 'k%' THEN 'km/h' ELSE 'mph' END END"""
+
+
+def _common(value: str, unit: str) -> str:
+    return f"""round(CASE {unit} WHEN 'K' THEN {value} WHEN 'degC' THEN {value} + 273.15 WHEN 'degF' THEN ({value} - 32) * 5.0::double / 9 + 273.15 WHEN '0.1degC' THEN {value} / 10 + 273.15
+      WHEN 'Pa' THEN {value} WHEN 'hPa' THEN {value} * 100 WHEN '0.1hPa' THEN {value} / 10 * 100 WHEN 'inHg' THEN {value} * 3386.389 WHEN 'mmHg' THEN {value} * 133.322387415
+      WHEN 'm/s' THEN {value} WHEN 'kn' THEN {value} * (1852.0::double / 3600) WHEN 'km/h' THEN {value} * (1 / 3.6::double) WHEN 'mph' THEN {value} * 0.44704 END::double, 6)"""
+
+
+UNITS = f"""
+el AS (SELECT imodel AS m, element AS e, any_value(units) AS eu, any_value(valid_min) AS lo, any_value(valid_max) AS hi FROM elements GROUP BY ALL),
+read AS (
+  SELECT *, CASE units WHEN 5 THEN 'K' WHEN 60 THEN 'degC' WHEN 32 THEN 'Pa' WHEN 530 THEN 'hPa' WHEN 731 THEN 'm/s' ELSE CASE WHEN units_text IS NOT NULL THEN {_text_unit('units_text')} ELSE {_text_unit('eu')} END END AS unit, {_text_unit('eu')} AS eunit
+  FROM (SELECT *, CASE WHEN observed_variable IN (85, 36, 95) THEN 'T' WHEN observed_variable = 58 THEN 'P' WHEN observed_variable = 107 THEN 'S' END AS dim FROM observations) JOIN el ON imodel = m AND element = e
+  WHERE dim IS NOT NULL AND observation_value IS NOT NULL)
+"""
+
+
+@query("observations", "elements", sql=f"WITH {UNITS} SELECT row_id, unit FROM read WHERE unit NOT IN ('K', 'Pa', 'm/s')")
 def p4_found(observations, elements):
     return unit_resolution.found(observations, elements)
 
@@ -90,6 +114,18 @@ def p5_marob_fields(lines, elements, schema_header):
     return rejects.fields_of(rejects.load_lines(lines, elements, schema_header), elements, schema_header, "marob")
 
 
-@query("observations", "elements")
+P6 = f"""WITH {UNITS},
+rd AS (SELECT row_id, sensor_id, observed_variable AS ov, date_time, {_common('observation_value', 'unit')} AS v, {_common('lo', 'eunit')} AS vmin, {_common('hi', 'eunit')} AS vmax
+  FROM read WHERE sensor_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY observation_id, sensor_id, observed_variable ORDER BY row_id) = 1),
+nb AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a, count(*) OVER (PARTITION BY sensor_id, ov) AS n FROM rd WINDOW w AS (PARTITION BY sensor_id, ov ORDER BY date_time, row_id)),
+md AS (SELECT sensor_id AS s, ov AS o, median(round(abs(v - b), 6)) AS m FROM nb WHERE b IS NOT NULL GROUP BY ALL),
+rn AS (SELECT *, sum(CASE WHEN v = b THEN 0 ELSE 1 END) OVER (PARTITION BY sensor_id, ov ORDER BY date_time, row_id) AS run FROM nb),
+ln AS (SELECT *, count(*) OVER (PARTITION BY sensor_id, ov, run) AS len FROM rn)
+SELECT row_id, kind FROM (SELECT row_id, CASE WHEN v < vmin OR v > vmax THEN 'impossible' WHEN n >= 24 AND len >= 10 THEN 'stuck'
+  WHEN n >= 24 AND ((v > b AND v > a) OR (v < b AND v < a)) AND round(least(abs(v - b), abs(v - a)), 6) > round(10 * m, 6) THEN 'spike' END AS kind
+  FROM ln LEFT JOIN md ON s = sensor_id AND o = ov) WHERE kind IS NOT NULL"""
+
+
+@query("observations", "elements", sql=P6)
 def p6_found(observations, elements):
     return spikes.flagged(observations, elements)
