@@ -73,7 +73,8 @@ def literal(value) -> Column:
 
 def column(rule: dict, kind: str, find: Callable[[str], Column | None], imodel: str, codes_subset: list[str] | None, extra_codes: dict[str, dict] | None, **context) -> Column:
     """The expression of one target column."""
-    default = literal(rule["default"]) if "default" in rule else F.lit(None)
+    given = rule.get("default")
+    default = literal([given] if kind.endswith("[]") and given is not None and not isinstance(given, list) else given)
     names = rule.get("elements", [])
     inputs = [find(n) for n in names]
     code, step = rule.get("code_table"), rule.get("transform")

@@ -32,7 +32,8 @@ SPLITS = 64
 
 def readings(observations: DataFrame, elements: DataFrame) -> DataFrame:
     """One row per reading of a series: s (series), t (microseconds), row_id, v, outside."""
-    rows = resolve_units(observations.filter(F.col("sensor_id").isNotNull() & F.col("observation_value").isNotNull() & ~F.isnan("observation_value")), elements)
+    needed = ["row_id", "observation_id", "report_id", "date_time", "observed_variable", "observation_value", "units", "units_text", "imodel", "element", "sensor_id"]
+    rows = resolve_units(observations.select(*needed).filter(F.col("sensor_id").isNotNull() & F.col("observation_value").isNotNull() & ~F.isnan("observation_value")), elements)
     rows = rows.filter(F.col("_u_value").isNotNull())
     outside = F.coalesce((F.col("_u_value") < F.col("_u_min")) | (F.col("_u_value") > F.col("_u_max")), F.lit(False))
     rows = rows.select(series_key().alias("s"), time_key().alias("t"), "row_id", F.col("_u_value").alias("v"), outside.alias("outside"), F.coalesce("observation_id", F.concat(F.lit("\u0001"), F.col("row_id").cast("string"))).alias("o"))

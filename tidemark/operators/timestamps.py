@@ -10,7 +10,7 @@ Defined results:
 * a local reading that the zone's clock skips gives 'skipped', one that it shows twice 'twice';
 * 24:00 is midnight of the next day; a day without a month counts from 1 January;
 * nulls in any cell are missing cells; an empty table gives an empty table; repeated rows are converted alike;
-* input columns are kept; the added columns start with `_t_`, and a clash with such a name raises ValueError.
+* input columns are kept, but for those that begin with `_t_`, as the added ones do.
 """
 
 from __future__ import annotations
@@ -67,8 +67,7 @@ def offset_minutes(zone: Column) -> Column:
 def parse_times(df: DataFrame, yr: str = "core_yr", mo: str = "core_mo", dy: str = "core_dy", hr: str = "core_hr") -> DataFrame:
     """Add `_t_instant` (epoch seconds, where the cells give one alone), `_t_local` (seconds of the local clock since
     1970) and `_t_zone` (the zone text in the cells, '' if none); all null where the cells hold no time."""
-    if taken := [c for c in df.columns if c.startswith("_t_")]:
-        raise ValueError(f"reserved column names: {taken}")
+    df = df.drop(*[c for c in df.columns if c.startswith("_t_")])
     out = bind(df, {f"_t_{k}": F.nullif(F.trim(F.col(v)), F.lit("")) for k, v in {"y": yr, "m": mo, "d": dy, "h": hr}.items()})
     y, m, d, h = (F.col(f"_t_{k}") for k in "ymdh")
     decimal_hour = h.rlike(DECIMAL) & ~h.rlike(MERIDIEM)
@@ -179,7 +178,7 @@ def normalise_times(df: DataFrame, decks: DataFrame, *, yr: str = "core_yr", mo:
     """All rows of `df` with `_t_utc` ('YYYY-MM-DD HH:MM', to the nearest minute, null if no single instant follows),
     `_t_status` ('instant', 'cells', 'deck', 'estimated', 'no zone', 'twice', 'skipped', 'none') and `_t_offset`
     (minutes, for 'cells' and 'estimated'). A zone in the cells goes before that of the office."""
-    zones = zone_table(decks)
+    df, zones = df.drop(*[c for c in df.columns if c.startswith("_t_")]), zone_table(decks)
     parsed = parse_times(df, yr, mo, dy, hr)
     out = parsed.join(small(zones), F.col(key) == F.col("_t_key"), "left")
     local, zone = F.col("_t_local"), F.col("_t_deckzone")
@@ -224,6 +223,6 @@ def is_plain(yr: str = "core_yr", mo: str = "core_mo", dy: str = "core_dy", hr:
 def unplain_times(reports: DataFrame, decks: DataFrame) -> DataFrame:
     """(row_id, utc_time) of each row whose time is not plain; 'unclear' if no single instant follows from what is
     known: an estimated zone is no known zone."""
-    times = normalise_times(reports, decks)
+    times = normalise_times(reports.select("row_id", "core_yr", "core_mo", "core_dy", "core_hr", "c1_dck", "received_at"), decks)
     sure = F.col("_t_status").isin("instant", "cells", "deck")
     return times.filter(~is_plain()).select("row_id", F.when(sure, F.col("_t_utc")).otherwise("unclear").alias("utc_time"))

@@ -8,7 +8,7 @@ it. A solution is flagged as not unique if another combination that gives the qu
 
 Defined results: rows without a value, without a dimension (directions, unknown or null variables) have no unit; a code of another
 dimension counts as none; a row that cannot be solved (no report id and no anchor) still has its anchor; empty tables give
-empty results; repeated rows are resolved alike; input columns are kept, added ones start with `_u_`.
+empty results; repeated rows are resolved alike; input columns are kept, but for those that begin with `_u_`, as the added ones do.
 """
 
 from __future__ import annotations
@@ -42,9 +42,7 @@ def element_units(elements: DataFrame) -> DataFrame:
 
 def stated_units(observations: DataFrame, elements: DataFrame) -> DataFrame:
     """Add `_u_dim`, `_u_stated` (the unit stated by code, text or element) and the element's unit and limits."""
-    if taken := [c for c in observations.columns if c.startswith("_u_")]:
-        raise ValueError(f"reserved column names: {taken}")
-    out = observations.withColumn("_u_dim", dimension(F.col("observed_variable")))
+    out = observations.drop(*[c for c in observations.columns if c.startswith("_u_")]).withColumn("_u_dim", dimension(F.col("observed_variable")))
     dim, text = F.col("_u_dim"), F.col("units_text")
     of = small(element_units(elements))
     out = out.join(of, (F.col("imodel") == F.col("_u_imodel")) & (F.col("element") == F.col("_u_element")) & (dim == F.col("_u_edim")), "left")
@@ -124,4 +122,5 @@ def resolve_units(observations: DataFrame, elements: DataFrame) -> DataFrame:
 
 def found(observations: DataFrame, elements: DataFrame) -> DataFrame:
     """(row_id, unit) of each row with a value, other than a direction, that is not in K, Pa or m/s."""
-    return resolve_units(observations, elements).filter(F.col("_u_unit").isNotNull() & ~F.col("_u_unit").isin("K", "Pa", "m/s")).select("row_id", F.col("_u_unit").alias("unit"))
+    rows = observations.select("row_id", "report_id", "observed_variable", "observation_value", "units", "units_text", "imodel", "element")
+    return resolve_units(rows, elements).filter(F.col("_u_unit").isNotNull() & ~F.col("_u_unit").isin("K", "Pa", "m/s")).select("row_id", F.col("_u_unit").alias("unit"))

@@ -51,8 +51,10 @@ def load_layered(folder: str | Path, imodel: str) -> dict:
             spec = json.loads(path.read_text())
             if "substitute" in spec:
                 to = spec["substitute"]
-                spec = load_layered(folder, "_".join(x for x in (to.get("data_model"), to.get("release"), to.get("deck")) if x))
-            found.append(spec)
+                # the other model's spec, whole, in the place of what the layers gave so far
+                found = [load_layered(folder, "_".join(x for x in (to.get("data_model"), to.get("release"), to.get("deck")) if x))]
+            else:
+                found.append(spec)
     return merge(*found)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,17 @@ def file_name(*parts: str | None, extension: str, separator: str = "_") -> str:
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8", skiprows: int = 0) -> DataFrame:
     """Lines of text files: `_row_id`, file, line. UTF-8 goes through the splittable text source, ids then are positions in
-    the partitioned scan; other encodings, and skipped rows, need whole files: binary rows, decoded and split in the JVM."""
+    the partitioned scan; other encodings, and skipped rows, need whole files, a row each, decoded in Arrow batches."""
     if encoding.lower().replace("-", "") == "utf8" and not skiprows:
         return spark.read.text(path).select(F.monotonically_increasing_id().alias(ROW_ID), F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
     raw = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", encoding), r"\r?\n$", "")
-    rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
+
+    @F.pandas_udf("array<string>")
+    def split(content: pd.Series) -> pd.Series:
+        # Spark itself decodes a few character sets only
+        return content.map(lambda b: re.split("\r?\n", re.sub("\r?\n$", "", b.decode(encoding, "replace"))))
+
+    rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(split("content")).alias("pos", "line"))
     return rows.filter(F.col("pos") >= skiprows).select((F.col("pos") - skiprows).cast("long").alias(ROW_ID), "file", "line")
 
 
