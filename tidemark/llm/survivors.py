@@ -11,7 +11,7 @@ meet, however many rows the key has.
 
 Defined results: null keys have no group; null trust or time is below any other; NaN, null, blank and missing-value marks are
 not filled; rows equal in all three respects stay undominated together; a group of one row survives as it is; an empty
-table gives an empty result; input columns beginning with `_s_` raise ValueError.
+table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ def filled(df: DataFrame, field: str) -> Column:
 
 def representatives(df: DataFrame, key: str, row: str, trust: str, recency: str, fields: list[str]) -> DataFrame:
     """Per key, trust and set of filled fields the most recent row: `_s_key`, trust, mask, n_filled, at, row, ties, values."""
-    if taken := [c for c in df.columns if c.startswith("_s_")]:
-        raise ValueError(f"reserved column names: {taken}")
     flags = [filled(df, f) for f in fields]
     mask = sum((F.when(x, F.lit(1 << i)).otherwise(0) for i, x in enumerate(flags)), F.lit(0)).cast("int")
     time = F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(-(2**62)))
@@ -88,7 +86,8 @@ def survivors(df: DataFrame, key: str, row: str, trust: str, recency: str, field
 
 def reports_with_trust(reports: DataFrame, decks: DataFrame) -> DataFrame:
     of = small(decks.groupBy(F.col("dck").alias("_dck"), F.col("sid").alias("_sid")).agg(F.max("trust").alias("trust")))
-    return reports.join(of, (F.col("c1_dck") == F.col("_dck")) & (F.col("c1_sid") == F.col("_sid")), "left").drop("_dck", "_sid")
+    rows = reports.select("row_id", "c98_uid", "c1_dck", "c1_sid", "received_at", *FIELDS)
+    return rows.join(of, (F.col("c1_dck") == F.col("_dck")) & (F.col("c1_sid") == F.col("_sid")), "left").drop("_dck", "_sid")
 
 
 def best_reports(reports: DataFrame, decks: DataFrame) -> DataFrame:
