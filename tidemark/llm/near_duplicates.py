@@ -36,7 +36,7 @@ REPORT_FIELDS = [
     "core_slp", "core_d", "core_w", "c1_dck", "c99",
 ]
 HEAVY = 4096  # a token is told apart if it is in at least one of so many records
-BANDS, COMPONENTS, MEMBERS = 48, 6, 64
+BANDS, COMPONENTS, MEMBERS = 80, 6, 64
 RARE_BITS = 12.0
 
 
