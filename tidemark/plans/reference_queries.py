@@ -232,7 +232,7 @@ def validate_id(reports):
 
 
 MAPPED = """SELECT row_id, 'ICOADS-300-' || c98_uid AS report_id, CASE c1_pt WHEN '4' THEN 33 WHEN '6' THEN 4 WHEN '7' THEN 5 WHEN '8' THEN 6 WHEN '9' THEN 32 WHEN '10' THEN 35 WHEN '11' THEN 34 WHEN '12' THEN 44 WHEN '13' THEN 43 WHEN '14' THEN 43 WHEN '15' THEN 3 WHEN '16' THEN 38 WHEN '17' THEN 46 WHEN '18' THEN 36 WHEN '19' THEN 40 WHEN '20' THEN 42 WHEN '21' THEN 45 WHEN '31' THEN 43
-  ELSE CASE WHEN c1_pt IN ('0', '1', '2', '3', '5') THEN 2 END END AS platform_type, CASE WHEN c1_pt = '7' THEN 69 END AS platform_sub_type, core_id AS primary_station_id, 8 AS primary_station_id_scheme, core_lat AS latitude, 2 AS report_quality_default, 4 AS duplicate_status FROM reports"""
+  ELSE CASE WHEN c1_pt IN ('0', '1', '2', '3', '5') THEN 2 END END::bigint AS platform_type, CASE WHEN c1_pt = '7' THEN 69 END::bigint AS platform_sub_type, core_id AS primary_station_id, 8 AS primary_station_id_scheme, core_lat AS latitude, 2 AS report_quality_default, 4::bigint AS duplicate_status FROM reports"""
 
 
 def _source(reports: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def map_header(reports):
     return h.select("row_id", "report_id", "platform_type", "platform_sub_type", "primary_station_id", "latitude", "duplicate_status")
 
 
-@query("reports", sql="SELECT DISTINCT 'ICOADS-300-' || c98_uid || '-AT' AS observation_id, core_at + 273.15 AS observation_value, 85 AS observed_variable, 5 AS units, core_at AS original_value FROM reports WHERE core_at IS NOT NULL")
+@query("reports", sql="SELECT DISTINCT 'ICOADS-300-' || c98_uid || '-AT' AS observation_id, core_at + 273.15 AS observation_value, 85::bigint AS observed_variable, 5::bigint AS units, core_at AS original_value FROM reports WHERE core_at IS NOT NULL")
 def map_observations_at(reports):
     t = mapping.map_model(_source(reports), "icoads_r300", "observations-at", drop_duplicates=False)["observations-at"]
     return t.select("observation_id", "observation_value", "observed_variable", "units", "original_value").distinct()
