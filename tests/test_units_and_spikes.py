@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tidemark.operators import spikes, unit_resolution
@@ -78,4 +77,3 @@ def test_critical_values_of_esd(spark):
     # Rosner's example: 54 readings, alpha 0.05
     got = spark.range(1).select(spikes.esd_critical(F.lit(54.0)).alias("x")).first().x
     assert abs(got - 3.158) < 0.01
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
