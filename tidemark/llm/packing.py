@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import encode
-from tidemark.session import cut
+from tidemark.session import cut, small
 
 GROUP = 20_000  # items
+KINDS = 1000  # of containers, at most; more raise ValueError
 OUT = "container string, bin long, doc_id long, part int, start long, tokens int"
 
 
@@ -78,7 +79,9 @@ def sized(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
 
 def pack(documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str, str]] | None = None, name: str = "byte_bpe_50k", group: int = GROUP) -> DataFrame:
     """(container, bin, doc_id, part, start, tokens): where each text or part of one lies, for each kind of container."""
-    kinds = [(r.container, r.capacity_tokens) for r in containers.limit(1000).collect()]
+    kinds = [(r.container, r.capacity_tokens) for r in containers.limit(KINDS + 1).collect()]
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of containers")
     if any(c is None or c < 1 for _, c in kinds):
         raise ValueError("a container needs a capacity")
     items = cut(sized(documents, name))
@@ -120,6 +123,6 @@ def pack(documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str,
 
 def fill_rates(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per kind of container: bins, items, tokens, and the share of their room that is used."""
-    of = F.broadcast(containers.limit(1000).select("container", "capacity_tokens"))
+    of = small(containers.select("container", "capacity_tokens"))
     out = packed.groupBy("container").agg(F.countDistinct("bin").alias("bins"), F.count("*").alias("items"), F.sum("tokens").alias("tokens")).join(of, "container")
     return out.select("container", "bins", "items", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 4).alias("fill"))
