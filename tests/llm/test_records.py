@@ -53,6 +53,39 @@ def test_large_buckets_are_split_exactly(spark, monkeypatch):
     assert {(i, j) for i in range(120) for j in range(i + 1, 120) if cls[i] == cls[j] or (min(cls[i], cls[j]), max(cls[i], cls[j])) in close} == brute(rows)
 
 
+def linked(rows, cls, close):
+    return {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if cls[i] == cls[j] or (min(cls[i], cls[j]), max(cls[i], cls[j])) in close}
+
+
+def records(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id long, " + ", ".join(f"{f} string" for f in FIELDS))
+
+
+def test_few_informative_fields(spark):
+    """Eleven of 15 fields are equal or null everywhere: pairs share one informative value at least, and bands are longer."""
+    rng = np.random.default_rng(5)
+    rows = [[f"{rng.integers(300)}" for _ in range(4)] + ["same"] * 6 + [None] * 5 for _ in range(400)]
+    rows += [[f"x{i}", "all", f"y{i}", f"z{i}"] + ["same"] * 6 + [None] * 5 for i in range(70)]  # a large bucket of pairs
+    cls, close = found(records(spark, rows))
+    assert linked(rows, cls, close) == brute(rows)
+
+
+def test_large_buckets_go_on(spark):
+    """Eight fields follow from the station, so their bits promise small buckets that hold a fourth of all rows each."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(480):
+        if i % 3 == 2:
+            base = list(rows[rng.integers(len(rows))])
+            for f in rng.choice(15, 3, replace=False):
+                base[f] = f"e{rng.integers(9)}"
+        else:
+            base = [f"s{rng.integers(4)}"] * 8 + [f"{rng.integers(12)}" for _ in range(7)]
+        rows.append(base)
+    cls, close = found(records(spark, rows))
+    assert linked(rows, cls, close) == brute(rows)
+
+
 def test_bucket_stream_across_batches():
     key = np.array([1, 1, 1, 2] + [3] * 150 + [4, 4], dtype=np.int64)
     ids = np.arange(len(key), dtype=np.int64)

@@ -1,4 +1,4 @@
-"""Near-duplicate records with small edits, by min-max hashing (problem 2).
+"""Near-duplicate records with small edits, by min-max hashing completed by exact prefixes (problem 2).
 
 Two records are near-duplicates if, as written, they differ in at most `max_diff` of the given fields (null equals null).
 
@@ -10,10 +10,15 @@ Two records are near-duplicates if, as written, they differ in at most `max_diff
    told apart, the rest count as rare.
 3. A band is as many components as it takes for their distinct tokens to carry log2(records) + 1 bits, at most six.
    So frequent values lengthen a band, and the buckets stay small whatever the skew.
-4. Buckets are streamed in sorted order. Up to 64 members they give their pairs; larger ones are split exactly: two
-   records that differ in at most `max_diff` fields agree wholly on two of max_diff + 2 groups of fields, so the members are
-   regrouped by each such combination within their bucket, and no pair is lost.
-5. Candidate pairs are checked field by field.
+4. Bands are probable candidates only; exact prefixes complete them. Tokens have one order for all records, the most
+   informative first. Two records that differ in at most `max_diff` fields share all other tokens, in this order, and
+   neither skips more than `max_diff` of its own before any of them. So each record takes every choice of its tokens with
+   at most `max_diff` skipped, until the choice carries log2(records) + 1 bits or has as many tokens as a pair must share. When
+   to stop is told by the shared tokens alone, so both records of a pair come to the same choice, whatever size and skew are.
+5. Buckets are streamed in sorted order. Up to 64 members they give their pairs. The choices of larger ones of prefixes go
+   on by further tokens, round by round; a large bucket that shares all that a pair must share is joined with itself, as all
+   of its pairs hold. Larger ones of bands give nothing, the prefixes have their pairs.
+6. Candidate pairs are checked field by field.
 
 Defined results: a null is a value like any other; records without any field filled are copies of each other; ids must
 be unique and not null; ties and repeated rows are copies; an empty table has no pairs; other columns are ignored.
@@ -21,7 +26,6 @@ be unique and not null; ties and repeated rows are copies; an empty table has no
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import log2
 
 import numpy as np
@@ -38,6 +42,8 @@ REPORT_FIELDS = [
 HEAVY = 4096  # a token is told apart if it is in at least one of so many records
 BANDS, COMPONENTS, MEMBERS = 80, 6, 64
 RARE_BITS = 12.0
+FURTHER_BITS = 8.0  # by which the choices of a large bucket go on
+SLICE = 2048  # records whose choices are held at a time
 
 
 def record_tokens(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -78,12 +84,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def information(tok: np.ndarray, heavy: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Bits of each token, at least 0.01."""
+    own = np.full(tok.shape, RARE_BITS, dtype=np.float32)
+    if len(heavy):
+        info = np.minimum(RARE_BITS, -np.log2(np.clip(shares, 1e-9, 1.0)))
+        at = np.searchsorted(heavy, tok).clip(max=len(heavy) - 1)
+        own = np.where(heavy[at] == tok, info[at], RARE_BITS).astype(np.float32)
+    return np.maximum(own, np.float32(0.01))
+
+
+def _keyed(keys: np.ndarray, ids: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(state)], names=["_band", "_id", "_state"])
+
+
 def minmax_bands(heavy: np.ndarray, shares: np.ndarray, bits: float, bands: int, seed: int):
-    """A mapInArrow function: (_id, _tok) -> (_band, _id), a row for each band."""
+    """A mapInArrow function: (_id, _tok) -> (_band, _id, _state), a row for each band; its state is -1."""
     rng = np.random.default_rng(seed)
     odd = rng.integers(1, 2**63, size=(bands, COMPONENTS // 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, size=(bands, COMPONENTS // 2), dtype=np.uint64)
-    info = np.minimum(RARE_BITS, -np.log2(np.clip(shares, 1e-9, 1.0)))
 
     def components(tok: np.ndarray, weight: np.ndarray, b: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         u = ((_mix(tok * odd[b, k] + shift[b, k]) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(2**24)
@@ -96,11 +115,7 @@ def minmax_bands(heavy: np.ndarray, shares: np.ndarray, bits: float, bands: int,
                 continue
             tok = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             width = tok.shape[1]
-            own = np.full(tok.shape, RARE_BITS, dtype=np.float32)
-            if len(heavy):
-                at = np.searchsorted(heavy, tok).clip(max=len(heavy) - 1)
-                own = np.where(heavy[at] == tok, info[at], RARE_BITS).astype(np.float32)
-            own = np.maximum(own, np.float32(0.01))
+            own = information(tok, heavy, shares)
             weight, utok, ids = 1 / own, tok.view(np.uint64), batch.column(0).to_numpy(zero_copy_only=False)
             keys = np.empty((bands, n), dtype=np.uint64)
             for b in range(bands):
@@ -119,15 +134,47 @@ def minmax_bands(heavy: np.ndarray, shares: np.ndarray, bits: float, bands: int,
                         used[r, c] = True
                     rows = rows[got[rows] < bits]
                 keys[b] = key
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(ids, bands))], names=["_band", "_id"])
+            yield _keyed(keys.reshape(-1), np.tile(ids, bands), np.full(bands * n, -1, dtype=np.int32))
+
+    return run
+
+
+def prefix_choices(heavy: np.ndarray, shares: np.ndarray, bits: float, shared: int, max_diff: int):
+    """A mapInArrow function: (_id, _tok, _band, _state) -> (_band, _id, _state). Each choice goes on from its state (tokens
+    passed << 16 | tokens chosen) with every choice of further tokens, until these carry `bits` or `shared` are chosen."""
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                n = batch.num_rows
+                ids, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                state = batch.column(3).to_numpy(zero_copy_only=False)
+                tok = np.sort(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), axis=1)
+                own = information(tok, heavy, shares)
+                order = np.argsort(-own, axis=1, kind="stable")  # ties by token, so that all records have one order
+                utok, own = np.take_along_axis(tok, order, 1).view(np.uint64), np.take_along_axis(own, order, 1)
+                row, at, chosen, got = np.arange(n), state >> 16, state & 0xFFFF, np.zeros(n, dtype=np.float32)
+                while len(row):
+                    done = (got >= bits) | (chosen >= shared)
+                    if done.any():
+                        yield _keyed(key[done], ids[row[done]], (at[done] << 16 | chosen[done]).astype(np.int32))
+                        row, at, chosen, got, key = (x[~done] for x in (row, at, chosen, got, key))
+                    steps = []
+                    for skip in range(max_diff + 1):
+                        # fewer than `shared` are chosen, so a token is left whenever another may be skipped
+                        r = np.flatnonzero(at - chosen + skip <= max_diff)
+                        to = at[r] + skip
+                        steps.append((row[r], to + 1, chosen[r] + 1, got[r] + own[row[r], to], _mix(key[r] * np.uint64(0xD6E8FEB86659FD93) + utok[row[r], to])))
+                    row, at, chosen, got, key = (np.concatenate(x) for x in zip(*steps))
 
     return run
 
 
 def bucket_pairs(batches):
-    """A mapInArrow function over (_band, _id) sorted by both: (_a, _b, _band) for each pair of a bucket of up to
-    MEMBERS; of a larger bucket (_a, null, _band) for each member. A bucket is held up to MEMBERS ids only."""
-    carry_key, carry, large = None, np.empty(0, dtype=np.int64), False
+    """A mapInArrow function over (_band, _id, _state) sorted by the first two: (_a, _b, _band, null) for each pair of a bucket
+    of up to MEMBERS; of a larger bucket (_a, null, _band, _state) for each member. A bucket is held up to MEMBERS ids only."""
+    carry_key, carry, carry_state, large = None, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), False
 
     def flush(key: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray):
         a, b, k = [], [], []
@@ -141,30 +188,32 @@ def bucket_pairs(batches):
         if not a:
             return None
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(k))], names=["_a", "_b", "_band"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(k)), pa.nulls(len(a), pa.int32())], names=["_a", "_b", "_band", "_state"])
 
-    def members(key: int, ids: np.ndarray):
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.full(len(ids), key, dtype=np.int64))], names=["_a", "_b", "_band"])
+    def members(key: int, ids: np.ndarray, state: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.full(len(ids), key, dtype=np.int64)), pa.array(state)], names=["_a", "_b", "_band", "_state"])
 
     for batch in batches:
         key, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         if not len(key):
             continue
+        state = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else np.full(len(key), -1, dtype=np.int32)
         if carry_key is not None:
             if large and key[0] == carry_key:  # the rest of a bucket already known to be large
                 n = int(np.searchsorted(key, carry_key, side="right"))
-                yield members(carry_key, ids[:n])
-                key, ids = key[n:], ids[n:]
+                yield members(carry_key, ids[:n], state[:n])
+                key, ids, state = key[n:], ids[n:], state[n:]
                 if not len(key):
                     continue
             elif not large:
                 key, ids = np.concatenate([np.full(len(carry), carry_key, dtype=np.int64), key]), np.concatenate([carry, ids])
+                state = np.concatenate([carry_state, state])
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         for s, m in zip(start[size > MEMBERS], size[size > MEMBERS]):
-            yield members(int(key[s]), ids[s : s + m])
+            yield members(int(key[s]), ids[s : s + m], state[s : s + m])
         carry_key, large = int(key[start[-1]]), bool(size[-1] > MEMBERS)
-        carry = ids[:0] if large else ids[start[-1] :]
+        carry, carry_state = (ids[:0], state[:0]) if large else (ids[start[-1] :], state[start[-1] :])
         whole = size <= MEMBERS
         whole[-1] = False
         if (out := flush(key, ids, start[whole], size[whole])) is not None:
@@ -174,7 +223,7 @@ def bucket_pairs(batches):
 
 
 def _pairs_of(keyed: DataFrame, parts: int) -> DataFrame:
-    return keyed.repartition(parts, "_band").sortWithinPartitions("_band", "_id").mapInArrow(bucket_pairs, "_a long, _b long, _band long")
+    return keyed.repartition(parts, "_band").sortWithinPartitions("_band", "_id").mapInArrow(bucket_pairs, "_a long, _b long, _band long, _state int")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] = REPORT_FIELDS, max_diff: int = 3, bands: int = BANDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -186,19 +235,24 @@ def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] =
     heavy, shares = heavy_tokens(reps, total)
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * bands // 2_000_000)
-    keyed = reps.select("_id", "_tok").mapInArrow(minmax_bands(heavy, shares, log2(max(2, total)) + 1, bands, seed), "_band long, _id long")
-    raw = cut(_pairs_of(keyed, parts))
-    small = raw.filter(F.col("_b").isNotNull()).select("_a", "_b")
-    large = raw.filter(F.col("_b").isNull()).select(F.col("_a").alias("_id"), F.col("_band").alias("_bucket"))
-    if large.head(1):
-        split = large.join(reps.select("_id", "_tok"), "_id")
-        groups = [list(range(g, len(fields), max_diff + 2)) for g in range(min(len(fields), max_diff + 2))]
-        both = [sorted(a + b) for a, b in combinations(groups, 2)] if len(groups) == max_diff + 2 else [[]]
-        sub = [F.xxhash64(F.lit(i), F.col("_bucket"), *[F.element_at("_tok", f + 1) for f in g]) for i, g in enumerate(both)]
-        again = split.select(F.explode(F.array(*sub)).alias("_band"), "_id")
-        # what agrees on two groups of fields and on a band is nearly all pairs that hold; they are joined, not collected
-        left, right = again.select("_band", F.col("_id").alias("_a")), again.select("_band", F.col("_id").alias("_b"))
-        small = small.unionByName(left.join(right, "_band").filter(F.col("_a") < F.col("_b")).select("_a", "_b"))
+    shared, kind, first = len(fields) - max_diff, "_band long, _id long, _state int", log2(max(2, total)) + 1
+    keyed = reps.select("_id", "_tok").mapInArrow(minmax_bands(heavy, shares, first, bands, seed), kind)
+    begin = reps.select("_id", "_tok", F.lit(0).cast("long").alias("_band"), F.lit(0).alias("_state"))
+    keyed = keyed.unionByName(begin.mapInArrow(prefix_choices(heavy, shares, first, shared, max_diff), kind))
+    small = None
+    while True:
+        raw = cut(_pairs_of(keyed, parts))
+        here = raw.filter(F.col("_b").isNotNull()).select("_a", "_b")
+        small = here if small is None else small.unionByName(here)
+        large = raw.filter(F.col("_b").isNull() & (F.col("_state") >= 0))
+        # what shares all that a pair must share is a pair; these are joined, not collected
+        final = large.filter(F.col("_state").bitwiseAND(0xFFFF) >= shared)
+        small = small.unionByName(final.select("_band", "_a").join(final.select("_band", F.col("_a").alias("_b")), "_band").filter(F.col("_a") < F.col("_b")).select("_a", "_b"))
+        large = large.filter(F.col("_state").bitwiseAND(0xFFFF) < shared).select(F.col("_a").alias("_id"), "_band", "_state")
+        if not large.head(1):
+            break
+        further = large.join(reps.select("_id", "_tok"), "_id").select("_id", "_tok", "_band", "_state")
+        keyed = further.mapInArrow(prefix_choices(heavy, shares, FURTHER_BITS, shared, max_diff), kind)
     pairs = small.distinct()
     a = reps.select(F.col("_id").alias("_a"), F.col("_tok").alias("_ta"))
     b = reps.select(F.col("_id").alias("_b"), F.col("_tok").alias("_tb"))
