@@ -21,6 +21,26 @@ def test_ids_are_those_of_the_whole_text(spark, piece):
     assert token_ids.encode(documents(spark, EDGE).limit(0)).count() == 0
 
 
+def test_repeated_rows_and_null_ids(spark):
+    encoding, _ = token_ids.tokenizer("byte_bpe_50k")
+    long, other = "word and more " * 2000, "another 12 text " * 2000
+    rows = [(1, long), (1, long), (1, other), (None, long), (None, other), (None, other), (2**60 + 1, long), (2**60 + 1, "short"), (3, "short"), (3, "short"), (None, "short"), (None, None)]
+    df = spark.createDataFrame([(i, t, None, "clash", "clash") for i, t in rows], DOCS)
+
+    def order(found):
+        return sorted(found, key=lambda r: (r[0] or 0, r[1]))
+
+    want = order((i, encoding.encode_ordinary(t or "")) for i, t in rows)
+    assert order((r.doc_id, list(r.ids)) for r in token_ids.encode(df).collect()) == want
+    kinds = spark.createDataFrame([("big", 100_000), ("small", 1000)], "container string, capacity_tokens int")
+    out = packing.pack(df, kinds).collect()
+    for kind in ("big", "small"):
+        mine = [r for r in out if r.container == kind]
+        for i in {i for i, _ in rows}:
+            assert sum(r.tokens for r in mine if r.doc_id == i) == sum(len(ids) for j, ids in want if j == i)
+    assert order((r.doc_id, r.tokens) for r in out if r.container == "big") == order((i, len(ids)) for i, ids in want)
+
+
 def test_agrees_with_the_other_library():
     from tokenizers import Tokenizer
 

@@ -8,7 +8,7 @@ and residual by residual, until a compatible bin is found. Bins carry bitmaps of
 copies: no bin holds two copies of a text, nor two sources that are declared to conflict. A group of 20,000 texts fills
 hundreds of containers and leaves one or two with room, so groups need not meet again.
 
-Defined results: null and empty texts are items of no size, and are placed too; copies are told by the text in lower case with white
+Defined results: null and empty texts are items of no size, and are placed too; every row is an item, whether its id is null, repeated or neither; copies are told by the text in lower case with white
 space collapsed; an empty table has no containers; capacities that are null or below one raise ValueError.
 """
 
@@ -72,9 +72,9 @@ def best_fit(sizes: np.ndarray, sources: list[int], clusters: list[int], conflic
 
 def sized(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
     """(doc_id, tokens, source, cluster) of every document."""
-    sizes = encode(documents, name=name).select("doc_id", F.size("ids").alias("tokens"))
     plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.when(plain != "", F.xxhash64(plain)).alias("cluster")).join(sizes, "doc_id")
+    rows = documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.when(plain != "", F.xxhash64(plain)).alias("cluster"))
+    return encode(rows, name=name, also=["source", "cluster"]).select("doc_id", F.size("ids").alias("tokens"), "source", "cluster")
 
 
 def pack(documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str, str]] | None = None, name: str = "byte_bpe_50k", group: int = GROUP) -> DataFrame:
@@ -87,12 +87,14 @@ def pack(documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str,
     items = cut(sized(documents, name))
     groups = max(1, -(-items.count() // group))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("container"), F.lit(c).alias("capacity")) for k, c in kinds])).alias("k")
-    rows = items.select("doc_id", "tokens", "source", "cluster", each).select("doc_id", "tokens", "source", "cluster", "k.*")
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    # rows without an id are spread by their place in the checkpoint, and told by a flag, as pandas has no null integers
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
+    own = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "tokens", "source", "cluster"]
+    rows = items.select(*own, F.pmod(place, F.lit(groups)).cast("int").alias("g"), each).select("doc_id", "none", "tokens", "source", "cluster", "g", "k.*")
     pairs = conflicts or []
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "none", "tokens"], ignore_index=True)
         capacity, number = int(pdf["capacity"].iloc[0]), int(pdf["g"].iloc[0])
         tokens = pdf["tokens"].to_numpy("int64")
         full, rest = tokens // capacity, tokens % capacity
@@ -108,17 +110,18 @@ def pack(documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str,
         bit = {c: 1 << i for i, c in enumerate(several[several > 1].index)}
         bins = best_fit(last, [names[s] for s in pdf["source"]], [bit.get(c, 0) for c in pdf["cluster"]], [against[s] for s in pdf["source"]], capacity)
         used = int(bins.max()) + 1
-        ids, starts = pdf["doc_id"].to_numpy("int64"), full * capacity
-        parts = [pd.DataFrame({"bin": bins, "doc_id": ids, "part": full, "start": starts, "tokens": last})]
+        ids, none, starts = pdf["doc_id"].to_numpy("int64"), pdf["none"].to_numpy(bool), full * capacity
+        parts = [pd.DataFrame({"bin": bins, "doc_id": ids, "none": none, "part": full, "start": starts, "tokens": last})]
         n = int(full.sum())
         if n:
             which = np.repeat(np.arange(len(ids)), full)
             nth = np.arange(n) - np.repeat(np.cumsum(full) - full, full)
-            parts.append(pd.DataFrame({"bin": used + np.arange(n), "doc_id": ids[which], "part": nth, "start": nth * capacity, "tokens": capacity}))
+            parts.append(pd.DataFrame({"bin": used + np.arange(n), "doc_id": ids[which], "none": none[which], "part": nth, "start": nth * capacity, "tokens": capacity}))
         out = pd.concat(parts, ignore_index=True)
-        return out.assign(container=pdf["container"].iloc[0], bin=out["bin"] + (number << 32))[["container", "bin", "doc_id", "part", "start", "tokens"]]
+        return out.assign(container=pdf["container"].iloc[0], bin=out["bin"] + (number << 32))[["container", "bin", "doc_id", "part", "start", "tokens", "none"]]
 
-    return rows.groupBy("container", "g").applyInPandas(fill, OUT)
+    packed = rows.groupBy("container", "g").applyInPandas(fill, OUT + ", none boolean")
+    return packed.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def fill_rates(packed: DataFrame, containers: DataFrame) -> DataFrame:

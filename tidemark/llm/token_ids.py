@@ -9,7 +9,7 @@ A sure boundary is a place that is between two pre-tokens whatever the context:
 of another class, or before white space that follows a character.
 
 Defined results: null and empty texts have no ids (an empty list); special tokens' strings are ordinary text; repeated texts
-have equal ids; an empty table gives an empty result; other columns are ignored.
+have equal ids; a row comes out for every row, whether its key is null, repeated or neither; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -114,10 +113,11 @@ def _lists(ids: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER, piece: int = PIECE) -> DataFrame:
-    """(key, ids) of every row."""
-    kind = dict(documents.dtypes)[key]
-    rows = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER, piece: int = PIECE, also: list[str] = []) -> DataFrame:
+    """(key, *also, ids) of every row; also: columns that go with the row."""
+    kept = [key, *also]
+    kinds = "".join(f"`{c}` {dict(documents.dtypes)[c]}, " for c in kept)
+    rows = documents.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     short, long = rows.filter(F.length("_text") <= piece), rows.filter(F.length("_text") > piece)
 
     def whole(batches):
@@ -126,24 +126,30 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name:
             # long lists of texts in shares, to hold few ids as Python objects at a time
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [encoding.encode_ordinary(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=[key, "ids"])
+                ids = [encoding.encode_ordinary(t) for t in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], _lists(ids)], names=[*kept, "ids"])
 
     def pieces(batches):
         encoding, _ = tokenizer(name, folder)
         for batch in batches:
-            ids = [encoding.encode_ordinary(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids)], names=[key, "pos", "ids"])
+            ids = [encoding.encode_ordinary(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(ids)], names=[*kept, "_hash", "_pos", "_copies", "ids"])
 
     def tree(batches):
         encoding, lengths = tokenizer(name, folder)
-        for pdf in batches:
-            out = [concatenate([np.asarray(p["ids"], dtype=np.int32) for p in parts], encoding, lengths) for parts in pdf["parts"]]
-            yield pd.DataFrame({key: pdf[key], "ids": out})
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                parts = [p.values.to_numpy(zero_copy_only=False) for p in row.column(len(kept) + 1)[0].values.field("ids")]
+                yield pa.RecordBatch.from_arrays([*row.columns[:-1], _lists([concatenate(parts, encoding, lengths)])], names=[*kept, "_copies", "ids"])
 
     starts = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / piece).cast("int"))
-    cut = long.select(key, F.posexplode(F.transform(starts, lambda i: F.substring(F.col("_text"), i * piece + 1, F.lit(piece)))).alias("pos", "part"))
-    coded = cut.repartition(key, "pos").mapInArrow(pieces, f"{key} {kind}, pos int, ids array<int>")
-    gathered = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    joined = gathered.mapInPandas(tree, f"{key} {kind}, ids array<int>")
-    return short.mapInArrow(whole, f"{key} {kind}, ids array<int>").unionByName(joined)
+    parts = F.transform(starts, lambda i: F.substring(F.col("_text"), i * piece + 1, F.lit(piece)))
+    # keys may be null or repeated, so a text is told by its hash as well; rows that are alike are encoded once and counted
+    cut = long.select(*kept, F.sha2("_text", 256).alias("_hash"), F.posexplode(parts).alias("_pos", "_part"))
+    once = cut.groupBy(*kept, "_hash", "_pos").agg(F.count("*").alias("_copies"), F.first("_part").alias("_part"))
+    coded = once.mapInArrow(pieces, f"{kinds}_hash string, _pos int, _copies long, ids array<int>")
+    gathered = coded.groupBy(*kept, "_hash").agg(F.max("_copies").alias("_copies"), F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_parts")).drop("_hash")
+    joined = gathered.mapInArrow(tree, f"{kinds}_copies long, ids array<int>")
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*kept, "ids")
+    return short.mapInArrow(whole, f"{kinds}ids array<int>").unionByName(joined)
