@@ -71,6 +71,29 @@ def test_spikes_against_brute_force(spark, elements, chunk):
     assert spikes.flagged(df.limit(0), elements).count() == 0
 
 
+def test_pieces_of_gaps_do_not_part_neighbours(spark, elements):
+    """A long outage of null values, with a run of equal readings across it and a spike at its end."""
+    rng = np.random.default_rng(6)
+    v = np.round(280 + np.cumsum(rng.normal(0, 0.05, 5000)), 1)
+    v[2495:2505] = v[2495]
+    w = np.round(280 + np.cumsum(rng.normal(0, 0.05, 5000)), 1)
+    w[2500] += 25
+    gap = 3000
+    rows = [row(i, 85, float(x), 5, at=i + gap * (i >= 2500)) for i, x in enumerate(v)]
+    rows += [row(20_000 + i, 85, float(x), 5, at=i + gap * (i > 2500), sensor="T") for i, x in enumerate(w)]
+    nulls = [row(start + i, 85, None if i % 2 else float("nan"), 5, at=at + i, sensor=s) for s, start, at in (("S", 40_000, 2500), ("T", 50_000, 2501)) for i in range(gap)]
+    got = {r.row_id: r.kind for r in spikes.flagged(spark.createDataFrame(rows + nulls, OBS), elements, 100).collect()}
+    none = np.zeros(5000, dtype=bool)
+    assert got == brute(v, none) | {20_000 + i: k for i, k in brute(w, none).items()}
+
+
+def test_series_without_observation_ids_is_cut(spark, elements):
+    rows = [(i, None, *row(i, 85, 280.0 + i % 7, 5, at=i)[2:]) for i in range(5000)]
+    df = spark.createDataFrame(rows, OBS)
+    bounds = spikes.whole_pieces(spikes.readings(df, elements), spikes.chunk_bounds(df, 100))
+    assert len(bounds) > 50
+
+
 def test_critical_values_of_esd(spark):
     from pyspark.sql import functions as F
 

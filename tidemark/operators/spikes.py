@@ -51,9 +51,10 @@ def time_key() -> Column:
 
 
 def chunk_bounds(observations: DataFrame, chunk: int = CHUNK) -> pd.DataFrame:
-    """(s, b): where the long series are cut. At most 1000 series are long, each gets at most 63 cuts, and a piece
-    holds at least 64 different observations or is joined to the one before."""
-    raw = observations.filter(F.col("sensor_id").isNotNull()).select(series_key().alias("s"), time_key().alias("t"), "observation_id")
+    """(s, b): where the long series may be cut, at quantiles of the times of rows with a value. At most 1000 series are
+    long, each gets at most 63 cuts."""
+    valued = F.col("sensor_id").isNotNull() & F.col("observation_value").isNotNull() & ~F.isnan("observation_value")
+    raw = observations.filter(valued).select(series_key().alias("s"), time_key().alias("t"))
     counts = raw.groupBy("s").count()
     limit = max(chunk, raw.count() // 1000)
     hot = counts.filter(F.col("count") > limit).toPandas()
@@ -62,13 +63,20 @@ def chunk_bounds(observations: DataFrame, chunk: int = CHUNK) -> pd.DataFrame:
     mine = raw.join(F.broadcast(raw.sparkSession.createDataFrame(hot[["s"]])), "s")
     at = [i / SPLITS for i in range(1, SPLITS)]
     cuts = mine.groupBy("s").agg(F.array_distinct(F.percentile_approx("t", at, 1000)).alias("b"))
-    pieces = mine.join(F.broadcast(cuts), "s").groupBy("s", piece(F.col("t"), F.col("b")).alias("c")).agg(F.approx_count_distinct("observation_id").alias("n"))
-    sizes, bounds = pieces.toPandas(), cuts.toPandas()
+    return cuts.select("s", F.explode("b").alias("b")).toPandas().astype("int64")
+
+
+def whole_pieces(rows: DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+    """The bounds that leave at least 64 readings in every piece, so that nine neighbours are in the next one; the other
+    pieces are joined to the one before. Readings are counted, as copies, unreadable units and gaps are none."""
+    cuts = bounds.groupby("s")["b"].apply(lambda b: sorted(map(int, b))).reset_index()
+    table = F.broadcast(rows.sparkSession.createDataFrame(cuts, "s long, b array<long>"))
+    sizes = rows.join(table, "s").groupBy("s", piece(F.col("t"), F.col("b")).alias("c")).agg(F.count("*").alias("n")).toPandas()
     out = []
-    for s, b in zip(bounds["s"], bounds["b"]):
+    for s, b in zip(cuts["s"], cuts["b"]):
         n = sizes[sizes["s"] == s].set_index("c")["n"]
         have = n.get(0, 0)
-        for i, cut_at in enumerate(sorted(b), start=1):
+        for i, cut_at in enumerate(b, start=1):
             size = n.get(i, 0)
             if have >= 64 and size >= 64:
                 out.append((s, cut_at))
@@ -155,8 +163,11 @@ def series_limits(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def flagged(observations: DataFrame, elements: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(row_id, kind): each reading of a series that is 'impossible', 'stuck' or a 'spike', by the first that holds."""
-    bounds = chunk_bounds(observations, chunk)
-    parts = cut(neighbours(readings(observations, elements), bounds))
+    rows, bounds = readings(observations, elements), chunk_bounds(observations, chunk)
+    if len(bounds):
+        rows = cut(rows)
+        bounds = whole_pieces(rows, bounds)
+    parts = cut(neighbours(rows, bounds))
     limits, seasonal = series_limits(parts)
     doubtful = parts.filter(F.col("outside") | F.col("stuck") | (F.col("r") != 0))
     tested = doubtful.join(limits, "s").join(seasonal, ["s", "hour"], "left")
