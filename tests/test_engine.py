@@ -106,6 +106,8 @@ def test_transforms(spark):
     assert abs(one(spark, T["longitude_360to180"](L(255.68))) + 104.31999969482422) < 1e-9 and one(spark, T["longitude_360to180"](L(360.0))) == -180.0
     assert one(spark, T["datetime_imma1"](L(2010), L(7), L(1), L(1.5))) == datetime(2010, 7, 1, 1, 30) and one(spark, T["datetime_imma1"](L(2010), L(2), L(30), L(1.0))) is None
     assert one(spark, T["string_add"](L("x"), prepend="A", append="B", separator="-")) == "A-x-B" and one(spark, T["string_add"](L(""), prepend="A")) is None
+    assert one(spark, T["string_add"](L("0"), prepend="A")) == "A0" and one(spark, T["string_add"](L(0), prepend="A")) is None and one(spark, T["string_add"](L(7), prepend="A")) == "A7"
+    assert one(spark, T["string_join_add"](L("-7"), L("0"), zfill_col=[0], zfill=[4])) == "-0070" and one(spark, T["string_join_add"](L("0"))) == "0"
     assert one(spark, T["string_join_add"](L("7"), L("89"), prepend="P", separator="-", zfill_col=[0], zfill=[3])) == "P-007-89"
     assert one(spark, T["temperature_celsius_to_kelvin"](L("1"), L(2.0), method="method_b")) == 271.15
     assert one(spark, T["observing_programme"](L("7"))) == [5, 7, 9] and one(spark, T["location_accuracy"](L("1"), L(0.0))) == 157.0
@@ -116,10 +118,10 @@ def test_transforms(spark):
 
 
 def test_corrections(spark):
-    df = spark.createDataFrame([("12345", "147", "5"), ("1234", "147", "5"), ("12345", "147", None), ("6202123", "114", "5"), ("123456", "114", "5"), ("123456", "103", "5")], "core_id string, c1_sid string, c1_pt string")
+    df = spark.createDataFrame([("12345", "147", "5"), ("1234", "147", "5"), ("12345", "147", None), ("6202123", "114", "5"), ("6202222", "114", "5"), ("123456", "114", "5"), ("123456", "103", "5")], "core_id string, c1_sid string, c1_pt string")
     pt = lambda m: [r.c1_pt for r in corrections.correct_pt(df, m).collect()]
-    assert pt("icoads_r300_d700") == ["6", "5", "7", "5", "5", "5"] and pt("icoads_r302_d992") == ["5", "5", None, "4", "6", "5"]
-    assert pt("icoads_r302_d792")[5] == "6" and pt("gdac") == ["5", "5", None, "5", "5", "5"] and pt("icoads_r300_d128")[2] == "5"
+    assert pt("icoads_r300_d700") == ["6", "5", "7", "5", "5", "5", "5"] and pt("icoads_r302_d992") == ["5", "5", None, "5", "4", "6", "5"]
+    assert pt("icoads_r302_d792")[6] == "6" and pt("gdac") == ["5", "5", None, "5", "5", "5", "5"] and pt("icoads_r300_d128")[2] == "5"
     ids = spark.createDataFrame([("12345",), ("ABCDE",), ("",), (None,)], "i string")
     assert [r.v for r in ids.select(corrections.valid_id(F.col("i"), "icoads_r300_d201").alias("v")).collect()] == [True, False, True, True]
     with pytest.raises(FileNotFoundError):

@@ -140,19 +140,28 @@ def observing_programme(c, **_):
 
 def _add(middle, prepend=None, append=None, separator=""):
     parts = [F.lit(prepend)] * bool(prepend) + [middle] + [F.lit(append)] * bool(append)
-    return F.when(middle.isNotNull() & ~middle.isin("", "0"), F.concat_ws(separator or "", *parts))
+    return F.when(middle != "", F.concat_ws(separator or "", *parts))
+
+
+def zfill(text: Column, width: int) -> Column:
+    """Zeros before a text up to a width, behind its sign; longer texts stay."""
+    sign = F.regexp_extract(text, "^[+-]", 0)
+    rest = F.substr(text, F.length(sign) + 1)
+    return F.when(F.length(text) < width, F.concat(sign, F.lpad(rest, F.lit(width) - F.length(sign), F.lit("0")))).otherwise(text)
 
 
 @transform
 def string_add(c, prepend=None, append=None, separator="", **_):
-    return _add(c.cast("string"), prepend, append, separator)
+    """Null, the empty text and the number 0 give null; the text "0" is a text like any other."""
+    text = c.cast("string")
+    return _add(F.when((F.typeof(c) == "string") | (c.try_cast("double") != 0), text), prepend, append, separator)
 
 
 @transform
 def string_join_add(*cols, prepend=None, append=None, separator="", zfill_col=None, zfill=None, **_):
     width = dict(zip(zfill_col or [], zfill or []))
     texts = [F.coalesce(c.cast("string"), F.lit("nan")) for c in cols]
-    filled = [F.when(F.length(t) < width[i], F.lpad(t, width[i], "0")).otherwise(t) if i in width else t for i, t in enumerate(texts)]
+    filled = [zfill(t, width[i]) if i in width else t for i, t in enumerate(texts)]
     return _add(F.concat_ws(separator or "", *filled), prepend, append, separator)
 
 

@@ -97,8 +97,8 @@ def deck_792(pt: Column, ident: Column, sid: Column) -> Column:
 
 
 def deck_992(pt: Column, ident: Column, sid: Column) -> Column:
-    """First '4' for seven digits beginning 6202, then '6' for other numbers that are no ships'."""
-    light = F.when(ident.rlike(r"^6202+") & numeric_id(ident) & (F.length(ident) == 7) & (sid == "114") & (pt == "5"), "4").otherwise(pt)
+    """First '4' for seven digits 620 and then twos only, then '6' for other numbers that are no ships'."""
+    light = F.when(ident.rlike(r"^6202+$") & (F.length(ident) == 7) & (sid == "114") & (pt == "5"), "4").otherwise(pt)
     return F.when(_numbered_buoy(ident) & (sid == "114") & (light == "5"), "6").otherwise(light)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +24,16 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the folder that the cluster names in spark.checkpoint.dir; set one only where none is set (tests)."""
+    """Leave the folder that is set or that the cluster names in spark.checkpoint.dir. Where none is, a session whose tasks
+    all run in the driver's own process (local mode) takes a folder of its warehouse; any other raises, as a folder of one
+    machine would lose what its executors write."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint")
 
 
 def cut(df: DataFrame) -> DataFrame:
