@@ -54,8 +54,8 @@ def brute(v, outside):
     return kinds
 
 
-@pytest.mark.parametrize("chunk", [50_000, 100])
-def test_spikes_against_brute_force(spark, elements, chunk):
+@pytest.mark.parametrize("parts", [None, 60])
+def test_spikes_against_brute_force(spark, elements, parts):
     rng = np.random.default_rng(5)
     v = np.round(280 + np.cumsum(rng.normal(0, 0.2, 600)), 1)
     v[[50, 300, 301, 420]] += [15, 20, -20, 25]
@@ -66,7 +66,7 @@ def test_spikes_against_brute_force(spark, elements, chunk):
     short = [row(5000 + i, 85, 280.0 + 50 * (i == 3), 5, at=i, sensor="T") for i in range(20)]
     nobody = [row(6000 + i, 85, 999.0, 5, at=i, sensor=None) for i in range(30)]
     df = spark.createDataFrame(rows + copies + short + nobody, OBS)
-    got = {r.row_id: r.kind for r in spikes.flagged(df, elements, chunk).collect()}
+    got = {r.row_id: r.kind for r in spikes.flagged(df, elements, parts).collect()}
     assert got == brute(v, (v < 203.15) | (v > 343.15))
     assert spikes.flagged(df.limit(0), elements).count() == 0
 
@@ -82,16 +82,35 @@ def test_pieces_of_gaps_do_not_part_neighbours(spark, elements):
     rows = [row(i, 85, float(x), 5, at=i + gap * (i >= 2500)) for i, x in enumerate(v)]
     rows += [row(20_000 + i, 85, float(x), 5, at=i + gap * (i > 2500), sensor="T") for i, x in enumerate(w)]
     nulls = [row(start + i, 85, None if i % 2 else float("nan"), 5, at=at + i, sensor=s) for s, start, at in (("S", 40_000, 2500), ("T", 50_000, 2501)) for i in range(gap)]
-    got = {r.row_id: r.kind for r in spikes.flagged(spark.createDataFrame(rows + nulls, OBS), elements, 100).collect()}
+    got = {r.row_id: r.kind for r in spikes.flagged(spark.createDataFrame(rows + nulls, OBS), elements, 200).collect()}
     none = np.zeros(5000, dtype=bool)
     assert got == brute(v, none) | {20_000 + i: k for i, k in brute(w, none).items()}
 
 
-def test_series_without_observation_ids_is_cut(spark, elements):
-    rows = [(i, None, *row(i, 85, 280.0 + i % 7, 5, at=i)[2:]) for i in range(5000)]
+def test_a_series_of_mostly_null_values(spark, elements):
+    """Every fiftieth row has a value, twelve of them equal in succession; parts hold fewer readings than a run."""
+    v = [280.0 + i % 7 for i in range(200)]
+    v[60:72] = [281.5] * 12
+    rows = [row(i, 85, v[i // 50] if i % 50 == 0 else None, 5, at=i) for i in range(10_000)]
     df = spark.createDataFrame(rows, OBS)
-    bounds = spikes.whole_pieces(spikes.readings(df, elements), spikes.chunk_bounds(df, 100))
-    assert len(bounds) > 50
+    for parts in (None, 50, 190):
+        assert sorted(r.row_id for r in spikes.flagged(df, elements, parts).filter("kind = 'stuck'").collect()) == [i * 50 for i in range(60, 72)]
+
+
+def test_series_without_observation_ids(spark, elements):
+    rows = [(i, None, *row(i, 85, 280.0 + i % 7 + 90 * (i == 70), 5, at=i)[2:]) for i in range(500)]
+    assert [tuple(r) for r in spikes.flagged(spark.createDataFrame(rows, OBS), elements, 9).collect()] == [(70, "impossible")]
+
+
+def test_outliers_of_trend_and_season(spark, elements):
+    """A daily wave of twelve degrees: a reading that fits another hour is an outlier of its season, not of its neighbours' size."""
+    rng = np.random.default_rng(8)
+    wave = lambda i: 280 + 6 * np.sin(i / 24 * 2 * np.pi)
+    v = np.array([wave(i) + rng.normal(0, 0.05) for i in range(24 * 40)])
+    v[400] += 1.5
+    rows = [row(i, 85, float(np.round(x, 2)), 5, at=i) for i, x in enumerate(v)]
+    out = {r.row_id: r for r in spikes.outliers(spark.createDataFrame(rows, OBS), elements, 5).collect()}
+    assert out[400].slow and len(out) < 12
 
 
 def test_critical_values_of_esd(spark):

@@ -143,7 +143,7 @@ def _add(middle, prepend=None, append=None, separator=""):
     return F.when(middle != "", F.concat_ws(separator or "", *parts))
 
 
-def zfill(text: Column, width: int) -> Column:
+def zero_filled(text: Column, width: int) -> Column:
     """Zeros before a text up to a width, behind its sign; longer texts stay."""
     sign = F.regexp_extract(text, "^[+-]", 0)
     rest = F.substr(text, F.length(sign) + 1)
@@ -161,7 +161,7 @@ def string_add(c, prepend=None, append=None, separator="", **_):
 def string_join_add(*cols, prepend=None, append=None, separator="", zfill_col=None, zfill=None, **_):
     width = dict(zip(zfill_col or [], zfill or []))
     texts = [F.coalesce(c.cast("string"), F.lit("nan")) for c in cols]
-    filled = [zfill(t, width[i]) if i in width else t for i, t in enumerate(texts)]
+    filled = [zero_filled(t, width[i]) if i in width else t for i, t in enumerate(texts)]
     return _add(F.concat_ws(separator or "", *filled), prepend, append, separator)
 
 

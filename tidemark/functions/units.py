@@ -59,10 +59,16 @@ def code_unit(code: Column, dim: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.concat_ws(" ", dim, code.cast("string")))
 
 
-def to_common(value: Column, unit: Column) -> Column:
-    """`value` in K, Pa or m/s, null for an unknown unit; rounded to 1e-6 so that equal readings stay equal."""
+def conversion(unit: Column) -> tuple[Column, Column, Column]:
+    """Divisor, factor and summand from a unit to the common one, null for an unknown unit."""
     tenth = unit.startswith("0.1")
     base = F.when(tenth, F.substring(unit, 4, 20)).otherwise(unit)
     factor = F.try_element_at(F.create_map(*[F.lit(x) for u, (f, _) in TO_COMMON.items() for x in (u, f)]), base)
     shift = F.try_element_at(F.create_map(*[F.lit(x) for u, (_, s) in TO_COMMON.items() for x in (u, s)]), base)
-    return F.round(F.when(tenth, value / 10).otherwise(value) * factor + shift, 6)
+    return F.when(tenth, 10.0).otherwise(1.0), factor, shift
+
+
+def to_common(value: Column, unit: Column) -> Column:
+    """`value` in K, Pa or m/s, null for an unknown unit; rounded to 1e-6 so that equal readings stay equal."""
+    divisor, factor, shift = conversion(unit)
+    return F.round(value / divisor * factor + shift, 6)

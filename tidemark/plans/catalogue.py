@@ -129,3 +129,35 @@ SELECT row_id, kind FROM (SELECT row_id, CASE WHEN v < vmin OR v > vmax THEN 'im
 @query("observations", "elements", sql=P6)
 def p6_found(observations, elements):
     return spikes.flagged(observations, elements)
+
+
+ESD = """
+ls AS (SELECT sensor_id AS s, ov, row_id, rd.date_time AS t, v FROM rd),
+w9 AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a, median(v) OVER (PARTITION BY s, ov ORDER BY t NULLS FIRST, row_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS trend,
+  count(*) OVER (PARTITION BY s, ov) AS n, coalesce(hour(t), -1) AS h FROM ls WINDOW w AS (PARTITION BY s, ov ORDER BY t NULLS FIRST, row_id)),
+rs AS (SELECT *, CASE WHEN v > greatest(a, b) THEN v - greatest(a, b) WHEN v < least(a, b) THEN least(a, b) - v ELSE 0 END * (a IS NOT NULL AND b IS NOT NULL)::int AS fast, round(v - trend, 6) AS slow, round(abs(v - b), 6) AS change FROM w9),
+sn AS (SELECT s AS s2, ov AS ov2, h AS h2, quantile_disc(slow, 0.5) AS season FROM rs GROUP BY ALL HAVING count(*) >= 10),
+lf AS (SELECT rs.*, round(abs(slow - coalesce(season, 0)), 6) AS rest FROM rs LEFT JOIN sn ON s = s2 AND ov = ov2 AND h = h2),
+sc AS (SELECT s AS s3, ov AS ov3, CASE WHEN quantile_disc(rest, 0.5) > 0 THEN quantile_disc(rest, 0.5) * 1.4826 ELSE avg(rest) * 1.2533 END AS slow_scale, median(change) * (1.4826 / sqrt(2)) AS fast_scale FROM lf GROUP BY ALL),
+dv AS (SELECT *, CASE WHEN rest = 0 THEN 0 WHEN slow_scale > 0 THEN rest / slow_scale ELSE 1e300 END AS slow_x, CASE WHEN round(fast, 6) = 0 THEN 0 WHEN fast_scale > 0 THEN round(fast, 6) / fast_scale ELSE 1e300 END AS fast_x
+  FROM lf JOIN sc ON s = s3 AND ov = ov3 WHERE n >= 24),
+ev AS (SELECT row_id, s, ov, n, 'slow' AS kind, slow_x AS x0 FROM dv UNION ALL SELECT row_id, s, ov, n, 'fast', fast_x FROM dv),
+e3 AS (SELECT *, CASE WHEN x0 >= 1e300 THEN x0 ELSE round_even(x0 / pow(10, floor(log10(x0)) - 2), 0) * pow(10, floor(log10(x0)) - 2) END AS x FROM ev WHERE x0 > 0),
+rk AS (SELECT *, (n - (rank() OVER (PARTITION BY s, ov, kind ORDER BY x DESC) - 1))::double AS m FROM e3 WHERE x >= 2),
+zs AS (SELECT *, sqrt(-2 * ln(0.025 / m)) AS q, greatest(m - 2, 1) AS f FROM rk WHERE m * 2 >= n),
+zt AS (SELECT *, q - (2.515517 + 0.802853 * q + 0.010328 * q * q) / (1 + 1.432788 * q + 0.189269 * q * q + 0.001308 * q * q * q) AS z FROM zs),
+tt AS (SELECT *, z + (z * z * z + z) / (4 * f) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * f * f) AS t FROM zt),
+lm AS (SELECT s AS s4, ov AS ov4, kind AS k4, min(x) AS bound FROM tt WHERE x > (m - 1) * t / sqrt((f + t * t) * m) GROUP BY ALL)
+SELECT row_id, bool_or(kind = 'slow') AS slow, bool_or(kind = 'fast') AS fast FROM e3 JOIN lm ON s = s4 AND ov = ov4 AND kind = k4 WHERE x >= bound GROUP BY row_id"""
+
+
+@query("observations", "elements", sql=P6[: P6.index("nb AS")] + ESD)
+def p6_outliers(observations, elements):
+    """The readings whose remainder from trend and season exceeds the ESD limit of their series."""
+    return spikes.outliers(observations, elements)
+
+
+@query("observations", "elements")
+def p4_hidden_units(observations, elements):
+    """Each variable's units hidden in all rows in turn and solved by identities: solutions and right ones by true unit."""
+    return unit_resolution.hidden_units(observations, elements)

@@ -48,6 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """`df` marked for broadcast if a count shows that it has at most `rows` rows, else as it is (Spark then joins by
-    shuffle, with adaptive splitting of hot keys). For reference tables such as decks and elements."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """`df` as a table of the driver, marked for broadcast, if it has at most `rows` rows; else as it is (Spark then joins by
+    shuffle, with adaptive splitting of hot keys). It is computed once, behind a limit. For reference tables such as decks
+    and elements, and for results per series or kind, of which there usually are few."""
+    got = df.limit(rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if got.num_rows <= rows else df
