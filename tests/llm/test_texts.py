@@ -111,5 +111,35 @@ def test_residue(spark):
     got = {r.doc_id for r in residue.found(documents(spark, texts)).collect()}
     assert got == set(range(len(CASES) + 1))
     assert residue.found(documents(spark, texts).limit(0)).count() == 0
-    kinds = {r.kind for r in residue.templates(documents(spark, texts)).collect()}
-    assert {"slot", "filler", "error", "script", "mention", "weak"} <= kinds
+    kinds = {r.kind for r in residue.suspicious(documents(spark, texts)).collect()}
+    assert {"slot", "filler", "error", "script", "mention", "blank", "induce"} <= kinds
+
+
+def test_templates_are_induced_by_alignment(spark):
+    """Neither sentence is in a list of wordings: one is aligned with a page that is, one is a blank that is filled in elsewhere."""
+    texts = ["We cannot find that page. Go back.", "The log ends here. We cannot find that station sheet. Go back.", "We find that sheets cannot last.", "Observer: ____", "Observer: Smith", "Observer: Jones", "Remark: ____", "Officer: ____", "Officer: Smith", "Officer: Smith"]
+    assert {r.doc_id for r in residue.found(documents(spark, texts)).collect()} == {0, 1, 3}
+    found = {(r.template, r.fillings) for r in residue.templates(documents(spark, texts)).collect()}
+    assert ("we cannot find that * .", 2) in found
+    # the same with sentences and templates joined
+    try:
+        residue.TEMPLATES = 3
+        assert {r.doc_id for r in residue.found(documents(spark, texts)).collect()} == {0, 1, 3}
+    finally:
+        residue.TEMPLATES = 500_000
+
+
+def test_the_prefilter_loses_no_wording():
+    """Whatever a wording may match holds a word that the automaton looks for, folded or not."""
+    automaton = residue._automaton()
+    more = [
+        "Checking your browser before you continue.", "The requested page is gone.", "Turn them on in your browser", "Tràceback (most recent call last):", "ＬＯＲＥＭ ＩＰＳＵＭ ＤＯＬＯＲ", "504 Gateway Time-out", "Access denied", "Page not found",
+        "Error establishing a database connection", "[Your Name Here]", "Dear [First Name],", "Java<b>Script</b> is required", "lorem\nipsum\ndolor",
+    ]
+    for text in [*CASES, *PLAIN, *more]:
+        if text is not None:
+            assert residue.judge(text, automaton) == residue.judge(text)
+    assert all(residue.judge(t, automaton) for t in more if "<b>" not in t)
+    assert residue.needed(r"\b(?:ab(?:cd|ef)+x|gh) ij*") == ["ab", "gh"]
+    for _, pattern in residue._WORDINGS:
+        assert residue.needed(pattern.pattern)
