@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.binding import bind
-from tidemark.session import small
+from tidemark.session import cut, small
 
 # Civil abbreviations that stand for one offset, in minutes east of Greenwich.
 ABBREVIATIONS = {
@@ -44,6 +44,7 @@ MERIDIEM = r"[0-9]\s*[AaPp]\.?[Mm]\.?(\s|$)"
 DAY = r"^(\d{1,3})(?:\.|st|nd|rd|th)?$"
 EPOCH = r"^(\d{8,13})(?:\.(\d+))?$"
 PERIOD_S = 900  # width of a bin of lag, in seconds
+SURPRISE = 0.1  # violations that a nat of surprise counts for
 
 
 def _number(text: Column) -> Column:
@@ -123,25 +124,27 @@ def zone_table(decks: DataFrame, key: str = "dck", zone: str = "time_zone") -> D
     return decks.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_t_key")).agg(F.max(known).alias("_t_deckzone"))
 
 
-def _best_history(typical_bins: int, switch: float):
+def _best_history(typical_bins: int, switch: float, surprise: np.ndarray):
     """Per office: the offset of each period, such that the fewest readings lie after their receipt or implausibly
-    long before it; each change of offset costs `switch` readings (Viterbi over the periods in order)."""
+    long before it; each change of offset costs `switch` readings (Viterbi over the periods in order). Among offsets
+    that violate about as few, the one under which the delays of receipt are least surprising."""
     offsets = np.arange(-12 * 4, 14 * 4 + 1)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         periods = np.sort(pdf["period"].unique())
-        cost = np.zeros((len(periods), len(offsets)))
+        cost, doubt = np.zeros((len(periods), len(offsets))), np.zeros((len(periods), len(offsets)))
         for i, p in enumerate(periods):
             part = pdf[pdf["period"] == p]
             delay = part["lag"].to_numpy()[:, None] + offsets[None, :]
             cost[i] = (part["n"].to_numpy()[:, None] * ((delay < 0) | (delay > typical_bins))).sum(axis=0)
-        # among offsets of equal cost the one nearest to zero, then the western one
-        tie = np.abs(offsets) * 1e-6 + (offsets > 0) * 1e-7
-        best, back = cost[0] + tie, []
-        for row in cost[1:]:
+            doubt[i] = (part["n"].to_numpy()[:, None] * surprise[np.clip(delay, -1, len(surprise) - 2)]).sum(axis=0)
+        # then the one nearest to zero, and the western one
+        paid = cost + SURPRISE * doubt + np.abs(offsets) * 1e-6 + (offsets > 0) * 1e-7
+        best, back = paid[0], []
+        for row in paid[1:]:
             stay, move = best, best.min() + switch
             back.append(np.where(stay <= move, np.arange(len(offsets)), best.argmin()))
-            best = np.minimum(stay, move) + row + tie
+            best = np.minimum(stay, move) + row
         path = [int(best.argmin())]
         for step in reversed(back):
             path.append(int(step[path[-1]]))
@@ -162,16 +165,23 @@ def zone_histories(parsed: DataFrame, zones: DataFrame, key: str = "c1_dck", rec
     the tasks, at most some 200 bins a month, whatever the number of rows."""
     local = parsed.filter(F.col("_t_local").isNotNull() & (F.col("_t_zone") == "") & F.col(received).isNotNull())
     local = local.join(small(zones), F.col(key) == F.col("_t_key"))
-    lag = F.unix_seconds(F.col(received).cast("timestamp")) - F.col("_t_local")
+    known, day = F.col("_t_deckzone").isNotNull(), 86400 // PERIOD_S
+    lag = F.unix_seconds(F.col(received).cast("timestamp")) - F.col("_t_local") + F.when(known, _clock_offset(F.col("_t_local"), F.col("_t_deckzone"))).otherwise(0)
     month = F.date_from_unix_date(F.floor(F.col("_t_local") / 86400).cast("int"))
-    bins = local.select("_t_key", "_t_deckzone", F.floor((lag + F.when(F.col("_t_deckzone").isNull(), F.lit(0)).otherwise(_clock_offset(F.col("_t_local"), F.col("_t_deckzone")))) / PERIOD_S).cast("int").alias("lag"), (F.year(month) * 12 + F.month(month) - 1).alias("period"))
-    known = bins.filter(F.col("_t_deckzone").isNotNull() & F.col("lag").between(0, 2 * 96 - 1))
-    delay = known.groupBy("lag").count().toPandas().sort_values("lag")  # at most 192 rows
+    # offices of known zone are told apart by nothing but their lags
+    bins = local.select(F.when(~known, F.col("_t_key")).alias("_t_key"), known.alias("known"), F.when(~known, F.year(month) * 12 + F.month(month) - 1).alias("period"), F.floor(lag / PERIOD_S).cast("int").alias("lag"))
+    inside = F.when(F.col("known"), F.col("lag").between(0, 2 * day - 1)).otherwise(F.col("lag").between(-60, 60 + 2 * day))
+    bins = cut(bins.filter(inside).groupBy("_t_key", "known", "period", "lag").agg(F.count("*").alias("n")))
+    delay = bins.filter("known").select("lag", "n").toPandas().sort_values("lag")  # at most 192 rows
     typical = 24
     if len(delay):
-        typical = int(delay["lag"].to_numpy()[np.searchsorted(delay["count"].cumsum(), typical_share * delay["count"].sum())])
-    unknown = bins.filter(F.col("_t_deckzone").isNull() & F.col("lag").between(-60, 60 + 2 * 96)).groupBy("_t_key", "period", "lag").agg(F.count("*").alias("n"))
-    return unknown.groupBy("_t_key").applyInPandas(_best_history(typical, switch), "_t_key string, period int, offset_minutes int, readings long, violations long")
+        typical = int(delay["lag"].to_numpy()[np.searchsorted(delay["n"].cumsum(), typical_share * delay["n"].sum())])
+    # how surprising a delay is, in nats; one beyond two days, or negative (the last entry), most of all
+    seen = np.ones(2 * day + 1)
+    seen[delay["lag"].to_numpy("int64")] += delay["n"].to_numpy("int64")
+    surprise = -np.log(seen / seen.sum())
+    unknown = bins.filter(~F.col("known")).select("_t_key", "period", "lag", "n")
+    return unknown.groupBy("_t_key").applyInPandas(_best_history(typical, switch, surprise), "_t_key string, period int, offset_minutes int, readings long, violations long")
 
 
 def normalise_times(df: DataFrame, decks: DataFrame, *, yr: str = "core_yr", mo: str = "core_mo", dy: str = "core_dy", hr: str = "core_hr", key: str = "c1_dck", received: str = "received_at", estimate: bool = True) -> DataFrame:
@@ -184,9 +194,8 @@ def normalise_times(df: DataFrame, decks: DataFrame, *, yr: str = "core_yr", mo:
     local, zone = F.col("_t_local"), F.col("_t_deckzone")
     month = F.date_from_unix_date(F.floor(local / 86400).cast("int"))
     if estimate:
-        # offices of unknown zone times calendar months: computed once, then a local table
-        known = zone_histories(parsed, zones, key, received).toPandas()[["_t_key", "period", "offset_minutes"]]
-        history = df.sparkSession.createDataFrame(known.astype(object), "_t_hkey string, _t_period int, _t_guess int")
+        # offices of unknown zone times calendar months
+        history = zone_histories(parsed, zones, key, received).select(F.col("_t_key").alias("_t_hkey"), F.col("period").alias("_t_period"), F.col("offset_minutes").alias("_t_guess"))
         wanted = F.when(zone.isNull() & (F.col("_t_zone") == ""), F.year(month) * 12 + F.month(month) - 1)
         out = out.join(small(history), (F.col(key) == F.col("_t_hkey")) & (wanted == F.col("_t_period")), "left")
     else:
@@ -220,6 +229,26 @@ def is_plain(yr: str = "core_yr", mo: str = "core_mo", dy: str = "core_dy", hr:
     return F.coalesce((F.col("_t_deckzone") == "UTC") & shape & (F.col("_t_status") == "deck"), F.lit(False))
 
 
+def instants(reports: DataFrame, decks: DataFrame) -> DataFrame:
+    """(row_id, utc_time, status): every row with its instant, also where the zone is estimated, and how that is known."""
+    return normalise_times(reports.select("row_id", "core_yr", "core_mo", "core_dy", "core_hr", "c1_dck", "received_at"), decks).select("row_id", F.col("_t_utc").alias("utc_time"), F.col("_t_status").alias("status"))
+
+
+def hidden_zones(reports: DataFrame, decks: DataFrame) -> DataFrame:
+    """How well hidden zones are estimated: the zones of one half of the offices are hidden and estimated with the other half known, and
+    the other way round. Columns: dck, n (rows that need the zone of their office), n_estimated, n_right (the true instant)."""
+    needed = reports.select("core_yr", "core_mo", "core_dy", "core_hr", "c1_dck", "received_at")
+    out = None
+    for half in (0, 1):
+        mine = F.pmod(F.xxhash64("dck"), F.lit(2)) == half
+        guessed = normalise_times(needed, decks.withColumn("time_zone", F.when(~mine, F.col("time_zone"))))
+        guessed = guessed.select(*needed.columns, F.col("_t_utc").alias("guess"), F.col("_t_status").alias("how"))
+        true = normalise_times(guessed, decks, estimate=False).filter(F.pmod(F.xxhash64("c1_dck"), F.lit(2)) == half)
+        part = true.filter("_t_status = 'deck'").groupBy(F.col("c1_dck").alias("dck")).agg(F.count("*").alias("n"), F.count(F.when(F.col("how") == "estimated", 1)).alias("n_estimated"), F.count(F.when((F.col("how") == "estimated") & (F.col("guess") == F.col("_t_utc")), 1)).alias("n_right"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def unplain_times(reports: DataFrame, decks: DataFrame) -> DataFrame:
     """(row_id, utc_time) of each row whose time is not plain; 'unclear' if no single instant follows from what is
     known: an estimated zone is no known zone."""

@@ -39,6 +39,18 @@ def p1_zone_histories(reports, decks):
     return out.select(F.col("_t_key").alias("dck"), F.floor(F.col("period") / 12).alias("year"), (F.col("period") % 12 + 1).alias("month"), "offset_minutes", "readings", "violations")
 
 
+@query("reports", "decks")
+def p1_instants(reports, decks):
+    """Every report's instant, with the estimated ones of offices of unknown zone."""
+    return timestamps.instants(reports, decks)
+
+
+@query("reports", "decks")
+def p1_hidden_zones(reports, decks):
+    """Zones of known offices hidden and estimated, half of the offices at a time: right instants by office."""
+    return timestamps.hidden_zones(reports, decks)
+
+
 P3_REFERENCES = """
 refs AS (
   SELECT 'observations' AS ref_table, row_id, nullif(upper(trim(report_id)), '') AS ref_id, loaded_at, strftime(date_time, '%Y-%m') AS month, observation_value AS value FROM observations
