@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tidemark.llm import near_duplicates as nd
 from tidemark.llm import survivors
@@ -90,12 +91,23 @@ def test_bucket_stream_across_batches():
     key = np.array([1, 1, 1, 2] + [3] * 150 + [4, 4], dtype=np.int64)
     ids = np.arange(len(key), dtype=np.int64)
     cuts = [0, 2, 5, 60, 100, len(key)]
-    out = list(nd.bucket_pairs(pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(ids[a:b])], names=["k", "i"]) for a, b in zip(cuts, cuts[1:])))
+    state, sketches = np.full(len(key), -1, dtype=np.int32), np.where(ids == 2, 0x11, 0)  # two places apart from the others
+    batches = (pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, ids, state, sketches)], names=["_band", "_id", "_state", "_sketch"]) for a, b in zip(cuts, cuts[1:]))
+    out = list(nd.bucket_pairs(15, 1)(batches))
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
-    assert {r[:2] for r in rows if r[1] is not None} == {(0, 1), (0, 2), (1, 2), (154, 155)}
+    assert {r[:2] for r in rows if r[1] is not None} == {(0, 1), (154, 155)}
     assert sorted(r[0] for r in rows if r[1] is None) == list(range(4, 154))
 
 
+@pytest.mark.parametrize("fields", [3, 15, 40, 70])
+def test_sketches_are_no_further_apart_than_records(fields):
+    rng = np.random.default_rng(fields)
+    x, y = rng.integers(-(2**62), 2**62, (500, fields)), rng.integers(-(2**62), 2**62, (500, fields))
+    y = np.where(rng.random((500, fields)) < rng.random((500, 1)), x, y)
+    told, true = nd.places_apart(nd.sketch(x), nd.sketch(y), fields), (x != y).sum(axis=1)
+    assert (told <= true).all() and (fields != 15 or (true - told).max() <= 6)
+
+
 def test_groups_and_empty(spark):
     df, rows = table(spark, 60)
     out = nd.groups(df, "row_id", FIELDS).collect()

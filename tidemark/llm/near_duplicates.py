@@ -15,10 +15,12 @@ Two records are near-duplicates if, as written, they differ in at most `max_diff
    neither skips more than `max_diff` of its own before any of them. So each record takes every choice of its tokens with
    at most `max_diff` skipped, until the choice carries log2(records) + 1 bits or has as many tokens as a pair must share. When
    to stop is told by the shared tokens alone, so both records of a pair come to the same choice, whatever size and skew are.
-5. Buckets are streamed in sorted order. Up to 64 members they give their pairs. The choices of larger ones of prefixes go
+5. Each row carries some bits of each of its record's tokens, in one 64-bit sketch. Equal tokens have equal bits, so a pair whose
+   sketches differ in more than `max_diff` places is none, and never leaves its bucket.
+6. Buckets are streamed in sorted order. Up to 64 members they give their pairs. The choices of larger ones of prefixes go
    on by further tokens, round by round; a large bucket that shares all that a pair must share is joined with itself, as all
    of its pairs hold. Larger ones of bands give nothing, the prefixes have their pairs.
-6. Candidate pairs are checked field by field.
+7. Candidate pairs are checked field by field.
 
 Defined results: a null is a value like any other; records without any field filled are copies of each other; ids must
 be unique and not null; ties and repeated rows are copies; an empty table has no pairs; other columns are ignored.
@@ -40,7 +42,7 @@ REPORT_FIELDS = [
     "core_slp", "core_d", "core_w", "c1_dck", "c99",
 ]
 HEAVY = 4096  # a token is told apart if it is in at least one of so many records
-BANDS, COMPONENTS, MEMBERS = 80, 6, 64
+BANDS, COMPONENTS, MEMBERS = 8, 6, 64
 RARE_BITS = 12.0
 FURTHER_BITS = 8.0  # by which the choices of a large bucket go on
 SLICE = 2048  # records whose choices are held at a time
@@ -94,12 +96,37 @@ def information(tok: np.ndarray, heavy: np.ndarray, shares: np.ndarray) -> np.nd
     return np.maximum(own, np.float32(0.01))
 
 
-def _keyed(keys: np.ndarray, ids: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(state)], names=["_band", "_id", "_state"])
+def sketch(tok: np.ndarray) -> np.ndarray:
+    """64 bits of a record: as many of each token as there is room for, in order of the fields."""
+    width = _sketch_bits(tok.shape[1])
+    out = np.zeros(len(tok), dtype=np.uint64)
+    for i in range(tok.shape[1] if width else 0):
+        out |= (tok[:, i].view(np.uint64) & np.uint64((1 << width) - 1)) << np.uint64(i * width)
+    return out.view(np.int64)
+
+
+def _sketch_bits(fields: int) -> int:
+    return min(8, 64 // fields)
+
+
+def places_apart(x: np.ndarray, y: np.ndarray, fields: int) -> np.ndarray:
+    """In how many fields two sketches differ; no more than their records do."""
+    width = _sketch_bits(fields)
+    if not width:
+        return np.zeros(len(x), dtype=np.int64)
+    apart = (x ^ y).view(np.uint64)
+    folded = apart
+    for k in range(1, width):
+        folded = folded | (apart >> np.uint64(k))
+    return np.bitwise_count(folded & np.uint64(sum(1 << i * width for i in range(fields))))
+
+
+def _keyed(keys: np.ndarray, ids: np.ndarray, state: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(state), pa.array(sketches)], names=["_band", "_id", "_state", "_sketch"])
 
 
 def minmax_bands(heavy: np.ndarray, shares: np.ndarray, bits: float, bands: int, seed: int):
-    """A mapInArrow function: (_id, _tok) -> (_band, _id, _state), a row for each band; its state is -1."""
+    """A mapInArrow function: (_id, _tok) -> (_band, _id, _state, _sketch), a row for each band; its state is -1."""
     rng = np.random.default_rng(seed)
     odd = rng.integers(1, 2**63, size=(bands, COMPONENTS // 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, size=(bands, COMPONENTS // 2), dtype=np.uint64)
@@ -134,13 +161,13 @@ def minmax_bands(heavy: np.ndarray, shares: np.ndarray, bits: float, bands: int,
                         used[r, c] = True
                     rows = rows[got[rows] < bits]
                 keys[b] = key
-            yield _keyed(keys.reshape(-1), np.tile(ids, bands), np.full(bands * n, -1, dtype=np.int32))
+            yield _keyed(keys.reshape(-1), np.tile(ids, bands), np.full(bands * n, -1, dtype=np.int32), np.tile(sketch(tok), bands))
 
     return run
 
 
 def prefix_choices(heavy: np.ndarray, shares: np.ndarray, bits: float, shared: int, max_diff: int):
-    """A mapInArrow function: (_id, _tok, _band, _state) -> (_band, _id, _state). Each choice goes on from its state (tokens
+    """A mapInArrow function: (_id, _tok, _band, _state) -> (_band, _id, _state, _sketch). Each choice goes on from its state (tokens
     passed << 16 | tokens chosen) with every choice of further tokens, until these carry `bits` or `shared` are chosen."""
 
     def run(batches):
@@ -150,7 +177,8 @@ def prefix_choices(heavy: np.ndarray, shares: np.ndarray, bits: float, shared: i
                 n = batch.num_rows
                 ids, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 state = batch.column(3).to_numpy(zero_copy_only=False)
-                tok = np.sort(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), axis=1)
+                tok = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                sketches, tok = sketch(tok), np.sort(tok, axis=1)
                 own = information(tok, heavy, shares)
                 order = np.argsort(-own, axis=1, kind="stable")  # ties by token, so that all records have one order
                 utok, own = np.take_along_axis(tok, order, 1).view(np.uint64), np.take_along_axis(own, order, 1)
@@ -158,7 +186,7 @@ def prefix_choices(heavy: np.ndarray, shares: np.ndarray, bits: float, shared: i
                 while len(row):
                     done = (got >= bits) | (chosen >= shared)
                     if done.any():
-                        yield _keyed(key[done], ids[row[done]], (at[done] << 16 | chosen[done]).astype(np.int32))
+                        yield _keyed(key[done], ids[row[done]], (at[done] << 16 | chosen[done]).astype(np.int32), sketches[row[done]])
                         row, at, chosen, got, key = (x[~done] for x in (row, at, chosen, got, key))
                     steps = []
                     for skip in range(max_diff + 1):
@@ -171,20 +199,22 @@ def prefix_choices(heavy: np.ndarray, shares: np.ndarray, bits: float, shared: i
     return run
 
 
-def bucket_pairs(batches):
-    """A mapInArrow function over (_band, _id, _state) sorted by the first two: (_a, _b, _band, null) for each pair of a bucket
-    of up to MEMBERS; of a larger bucket (_a, null, _band, _state) for each member. A bucket is held up to MEMBERS ids only."""
-    carry_key, carry, carry_state, large = None, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), False
+def bucket_pairs(fields: int, max_diff: int):
+    """A mapInArrow function over (_band, _id, _state, _sketch) sorted by the first two: (_a, _b, _band, null) for each pair of a bucket
+    of up to MEMBERS whose sketches may be those of near-duplicates; of a larger bucket (_a, null, _band, _state) for each member. A
+    bucket is held up to MEMBERS ids only."""
 
-    def flush(key: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray):
+    def flush(key: np.ndarray, ids: np.ndarray, sketches: np.ndarray, start: np.ndarray, size: np.ndarray):
         a, b, k = [], [], []
         for m in np.unique(size):
             if m < 2:
                 continue
             at = start[size == m]
-            block = ids[at[:, None] + np.arange(m)]
+            places = at[:, None] + np.arange(m)
             i, j = np.triu_indices(m, 1)
-            a.append(block[:, i].reshape(-1)), b.append(block[:, j].reshape(-1)), k.append(np.repeat(key[at], len(i)))
+            left, right = places[:, i].reshape(-1), places[:, j].reshape(-1)
+            near = places_apart(sketches[left], sketches[right], fields) <= max_diff
+            a.append(ids[left[near]]), b.append(ids[right[near]]), k.append(np.repeat(key[at], len(i))[near])
         if not a:
             return None
         a, b = np.concatenate(a), np.concatenate(b)
@@ -193,37 +223,42 @@ def bucket_pairs(batches):
     def members(key: int, ids: np.ndarray, state: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.full(len(ids), key, dtype=np.int64)), pa.array(state)], names=["_a", "_b", "_band", "_state"])
 
-    for batch in batches:
-        key, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(key):
-            continue
-        state = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else np.full(len(key), -1, dtype=np.int32)
-        if carry_key is not None:
-            if large and key[0] == carry_key:  # the rest of a bucket already known to be large
-                n = int(np.searchsorted(key, carry_key, side="right"))
-                yield members(carry_key, ids[:n], state[:n])
-                key, ids, state = key[n:], ids[n:], state[n:]
-                if not len(key):
-                    continue
-            elif not large:
-                key, ids = np.concatenate([np.full(len(carry), carry_key, dtype=np.int64), key]), np.concatenate([carry, ids])
-                state = np.concatenate([carry_state, state])
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        for s, m in zip(start[size > MEMBERS], size[size > MEMBERS]):
-            yield members(int(key[s]), ids[s : s + m], state[s : s + m])
-        carry_key, large = int(key[start[-1]]), bool(size[-1] > MEMBERS)
-        carry, carry_state = (ids[:0], state[:0]) if large else (ids[start[-1] :], state[start[-1] :])
-        whole = size <= MEMBERS
-        whole[-1] = False
-        if (out := flush(key, ids, start[whole], size[whole])) is not None:
+    def run(batches):
+        carry_key, large = None, False
+        carry = carry_state = carry_sketch = np.empty(0, dtype=np.int64)
+        for batch in batches:
+            key, ids, state, sketches = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_band", "_id", "_state", "_sketch"))
+            if not len(key):
+                continue
+            if carry_key is not None:
+                if large and key[0] == carry_key:  # the rest of a bucket already known to be large
+                    n = int(np.searchsorted(key, carry_key, side="right"))
+                    yield members(carry_key, ids[:n], state[:n])
+                    key, ids, state, sketches = key[n:], ids[n:], state[n:], sketches[n:]
+                    if not len(key):
+                        continue
+                elif not large:
+                    key, ids = np.concatenate([np.full(len(carry), carry_key, dtype=np.int64), key]), np.concatenate([carry, ids])
+                    state, sketches = np.concatenate([carry_state, state]), np.concatenate([carry_sketch, sketches])
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            for s, m in zip(start[size > MEMBERS], size[size > MEMBERS]):
+                yield members(int(key[s]), ids[s : s + m], state[s : s + m])
+            carry_key, large = int(key[start[-1]]), bool(size[-1] > MEMBERS)
+            kept = slice(0, 0) if large else slice(start[-1], None)
+            carry, carry_state, carry_sketch = ids[kept], state[kept], sketches[kept]
+            whole = size <= MEMBERS
+            whole[-1] = False
+            if (out := flush(key, ids, sketches, start[whole], size[whole])) is not None:
+                yield out
+        if carry_key is not None and not large and (out := flush(np.full(len(carry), carry_key, dtype=np.int64), carry, carry_sketch, np.array([0]), np.array([len(carry)]))) is not None:
             yield out
-    if carry_key is not None and not large and (out := flush(np.full(len(carry), carry_key, dtype=np.int64), carry, np.array([0]), np.array([len(carry)]))) is not None:
-        yield out
+
+    return run
 
 
-def _pairs_of(keyed: DataFrame, parts: int) -> DataFrame:
-    return keyed.repartition(parts, "_band").sortWithinPartitions("_band", "_id").mapInArrow(bucket_pairs, "_a long, _b long, _band long, _state int")
+def _pairs_of(keyed: DataFrame, parts: int, fields: int, max_diff: int) -> DataFrame:
+    return keyed.repartition(parts, "_band").sortWithinPartitions("_band", "_id").mapInArrow(bucket_pairs(fields, max_diff), "_a long, _b long, _band long, _state int")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] = REPORT_FIELDS, max_diff: int = 3, bands: int = BANDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -234,14 +269,14 @@ def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] =
     total = reps.count()
     heavy, shares = heavy_tokens(reps, total)
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * bands // 2_000_000)
-    shared, kind, first = len(fields) - max_diff, "_band long, _id long, _state int", log2(max(2, total)) + 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (bands + 10) // 2_000_000)
+    shared, kind, first = len(fields) - max_diff, "_band long, _id long, _state int, _sketch long", log2(max(2, total)) + 1
     keyed = reps.select("_id", "_tok").mapInArrow(minmax_bands(heavy, shares, first, bands, seed), kind)
     begin = reps.select("_id", "_tok", F.lit(0).cast("long").alias("_band"), F.lit(0).alias("_state"))
     keyed = keyed.unionByName(begin.mapInArrow(prefix_choices(heavy, shares, first, shared, max_diff), kind))
     small = None
     while True:
-        raw = cut(_pairs_of(keyed, parts))
+        raw = cut(_pairs_of(keyed, parts, len(fields), max_diff))
         here = raw.filter(F.col("_b").isNotNull()).select("_a", "_b")
         small = here if small is None else small.unionByName(here)
         large = raw.filter(F.col("_b").isNull() & (F.col("_state") >= 0))
