@@ -33,7 +33,7 @@ def brute(rows, most=3):
 
 
 def found(df):
-    pairs, tokens = nd.near_duplicate_pairs(df, "row_id", FIELDS)
+    pairs, tokens, _ = nd.near_duplicate_pairs(df, "row_id", FIELDS)
     cls = {r._id: r._class for r in nd.classes(tokens).collect()}
     close = {(r._a, r._b) for r in pairs.collect()}
     return cls, close

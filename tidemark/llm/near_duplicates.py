@@ -56,11 +56,13 @@ def record_tokens(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("_id"), F.array(*[F.xxhash64(F.lit(i), value(f)) for i, f in enumerate(fields)]).alias("_tok"))
 
 
-def classes(tokens: DataFrame) -> DataFrame:
-    """Each record with the smallest id among its exact copies: `_id`, `_class`. Copies are told by 128 bits."""
-    w = _copy_key()
-    least = tokens.groupBy(*w).agg(F.min("_id").alias("_class"))
-    return tokens.select("_id", *w).join(least, ["_h1", "_h2"]).select("_id", "_class")
+def classes(tokens: DataFrame, reps: DataFrame | None = None) -> DataFrame:
+    """Each record with the smallest id among its exact copies: `_id`, `_class`. Copies are told by 128 bits. Of `reps`, those without
+    copies are taken as they are, so that only the keys of the others meet the records."""
+    reps = representatives(tokens) if reps is None else reps
+    several = reps.filter("_copies > 1").select("_h1", "_h2", F.col("_id").alias("_class"))
+    copies = tokens.select("_id", *_copy_key()).join(several, ["_h1", "_h2"]).select("_id", "_class")
+    return reps.filter("_copies = 1").select("_id", F.col("_id").alias("_class")).unionByName(copies)
 
 
 def _copy_key():
@@ -70,7 +72,7 @@ def _copy_key():
 def representatives(tokens: DataFrame) -> DataFrame:
     """The record with the smallest id of each class of exact copies, with its tokens and the number of copies."""
     least = tokens.groupBy(*_copy_key()).agg(F.min(F.struct("_id", "_tok")).alias("r"), F.count("*").alias("_copies"))
-    return least.select("r._id", "r._tok", "_copies")
+    return least.select("r._id", "r._tok", "_copies", "_h1", "_h2")
 
 
 def heavy_tokens(tokens: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +263,9 @@ def _pairs_of(keyed: DataFrame, parts: int, fields: int, max_diff: int) -> DataF
     return keyed.repartition(parts, "_band").sortWithinPartitions("_band", "_id").mapInArrow(bucket_pairs(fields, max_diff), "_a long, _b long, _band long, _state int")
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] = REPORT_FIELDS, max_diff: int = 3, bands: int = BANDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(pairs, tokens): pairs (_a < _b, _diff) between representatives of classes of exact copies that differ in 1 to
-    `max_diff` fields; tokens as of `record_tokens`, of which `classes` gives the members of each class."""
+def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] = REPORT_FIELDS, max_diff: int = 3, bands: int = BANDS, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, tokens, reps): pairs (_a < _b, _diff) between representatives of classes of exact copies that differ in 1 to
+    `max_diff` fields; tokens as of `record_tokens` and reps as of `representatives`, of which `classes` gives the members of each class."""
     tokens = record_tokens(df, key, fields)
     reps = cut(representatives(tokens))
     total = reps.count()
@@ -293,15 +295,14 @@ def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] =
     b = reps.select(F.col("_id").alias("_b"), F.col("_tok").alias("_tb"))
     differ = F.aggregate(F.zip_with("_ta", "_tb", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
     checked = pairs.join(a, "_a").join(b, "_b").select("_a", "_b", differ.alias("_diff"))
-    return checked.filter(F.col("_diff") <= max_diff), tokens
+    return checked.filter(F.col("_diff") <= max_diff), tokens, reps
 
 
 def pairs_found(reports: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b), a < b: each pair of rows of one observation, copies among them."""
-    pairs, tokens = near_duplicate_pairs(reports)
-    pairs, of = cut(pairs.select("_a", "_b")), classes(tokens)
-    grouped = of.groupBy("_class").agg(F.count("*").alias("n"))
-    several = of.join(grouped.filter(F.col("n") > 1).select("_class"), "_class", "left_semi")
+    pairs, tokens, reps = near_duplicate_pairs(reports)
+    pairs, of = cut(pairs.select("_a", "_b")), cut(classes(tokens, reps))
+    several = of.join(reps.filter("_copies > 1").select(F.col("_id").alias("_class")), "_class")
     x, y = several.select("_class", F.col("_id").alias("row_id_a")), several.select("_class", F.col("_id").alias("row_id_b"))
     copies = x.join(y, "_class").filter(F.col("row_id_a") < F.col("row_id_b")).select("row_id_a", "row_id_b")
     left = pairs.join(of.select(F.col("_class").alias("_a"), F.col("_id").alias("u")), "_a")
@@ -332,10 +333,10 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
 def groups(df: DataFrame, key: str = "row_id", fields: list[str] = REPORT_FIELDS, max_diff: int = 3) -> DataFrame:
     """One row per record: the key, class_id (least id of its exact copies), links (representatives it is linked with)
     and group_id (least id of all that are linked with it directly or through others)."""
-    pairs, tokens = near_duplicate_pairs(df, key, fields, max_diff)
+    pairs, tokens, reps = near_duplicate_pairs(df, key, fields, max_diff)
     pairs = cut(pairs)
     ends = pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select(F.col("_b").alias("_class")))
     links = ends.groupBy("_class").agg(F.count("*").alias("links"))
     roots = components(pairs).withColumnRenamed("_id", "_class")
-    out = classes(tokens).join(links, "_class", "left").join(roots, "_class", "left")
+    out = classes(tokens, reps).join(links, "_class", "left").join(roots, "_class", "left")
     return out.select(F.col("_id").alias(key), F.col("_class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("_root", "_class").alias("group_id"))
