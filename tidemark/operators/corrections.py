@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans import specs
+
 # Platform type that fills missing ones, by release and deck.
 FILLS = {
     "r300": dict.fromkeys(["128", "150", "151", "152", "155", "156", "192", "201", "246", "255", "875", "897", "899", "993"], "5"),
     "r302": {"793": "6", "794": "22", "795": "13", "797": "13", "798": "22", "993": "6", "994": "22", "995": "13"},
 }
-# Where each model keeps the station's id, and patterns of valid ids of some decks.
-ID_COLUMNS = {"icoads": "core_id", "gdac": "ID", "craid": "DRIFTER_WMO_NUMBER", "cmems": "platform_code", "marob": "kennung"}
-ID_PATTERNS = {
-    "d110": ["^$"], "d117": ["^[0-9]{2}$", "^[0-9]{3}$", "^[0-9]{4}$", "^-[0-9]{3}$", "^[}J-R]{1}[0-9]{3}$", "^[{A-I]{1}[0-9]{3}$", "^[/S-Z]{1}[0-9]{3}$", "^$"],
-    "d118": ["^[0-9]{6}$"], "d119": ["^[0-9]{6}$"], "d201": ["^[0-9]{5}$", "^$"],
-}
+# The columns that hold a station's id, source and platform type, and the parts of its time, by model.
+COLUMNS = {
+    "id": {"icoads": "core.ID", "gdac": "ID", "craid": "drifter_characteristics.DRIFTER_WMO_NUMBER", "cdm": "header.primary_station_id"},
+    "source": {"icoads": "c1.SID", "gdac": "005"},
+    "platform": {"icoads": "c1.PT", "gdac": "OP", "cdm": "header.platform_type"},
+    "time": {"icoads": ["core.YR", "core.MO", "core.DY", "core.HR"], "gdac": ["AAAA", "MM", "YY", "GG"]},
+}
+
+
+@lru_cache
+def id_patterns() -> dict[str, list[str]]:
+    """Patterns of valid ids by deck."""
+    lines = (specs.FOLDER / "station_ids.txt").read_text().splitlines()
+    return {deck: of.lstrip(" ").split("\t") if of.strip() else [] for deck, _, of in (x.partition(":") for x in lines if x and not x.startswith("#"))}
 
 
 def timestamp_of(y: Column, m: Column, d: Column, hour: Column) -> Column:
@@ -47,8 +58,7 @@ def correct_deck_201(df: DataFrame, y: str, m: str, d: str, h: str) -> DataFrame
 
 def correct_datetime(df: DataFrame, imodel: str, y: str = "core_yr", m: str = "core_mo", d: str = "core_dy", h: str = "core_hr") -> DataFrame:
     """Only deck 201 has a correction; models without release and deck stay as they are."""
-    parts = imodel.split("_")
-    return correct_deck_201(df, y, m, d, h) if len(parts) > 2 and parts[0] == "icoads" and parts[2] == "d201" else df
+    return correct_deck_201(df, y, m, d, h) if imodel.startswith("icoads") and _deck(imodel)[1] == "201" else df
 
 
 def fill_value(column: Column, fill: str, *, own: Sequence | None = None, fill_null: bool = False, others: Sequence[tuple[Column, Sequence]] = (), joined: str = "intersect") -> Column:
@@ -107,12 +117,30 @@ DECK_FUNCTIONS: dict[tuple[str, str], Callable[[Column, Column, Column], Column]
 }
 
 
-def correct_pt(df: DataFrame, imodel: str, pt: str = "c1_pt", ident: str = "core_id", sid: str = "c1_sid") -> DataFrame:
-    """Platform types corrected by the rule of the model's deck; models without release and deck stay as they are."""
+def _deck(imodel: str) -> tuple[str, str]:
+    """Release and deck of a model, empty if it names none."""
     parts = imodel.split("_")
-    if len(parts) < 3 or parts[0] != "icoads":
+    deck = next((p for p in parts[1:] if p.startswith("d") and p[1:].isdigit()), "")
+    return (parts[1] if len(parts) > 2 else "", deck.removeprefix("d"))
+
+
+def correct_pt(df: DataFrame, imodel: str, pt: str = "c1_pt", ident: str = "core_id", sid: str = "c1_sid", op: str = "OP", n: str = "N", corrections: dict[str, dict] | None = None) -> DataFrame:
+    """Platform types corrected by the rule of the model's deck; models without a deck stay as they are. corrections: external rules,
+    {deck: {"method": "fillna", "fill_value": v}} or {deck: {"method": "function", "function": Column function of type, id, source}}."""
+    model, (release, deck) = imodel.split("_")[0], _deck(imodel)
+    if corrections is not None and (rule := corrections.get(f"d{deck}") or corrections.get(deck)):
+        if rule.get("method") == "fillna":
+            if rule.get("fill_value") is None:
+                raise ValueError(f"fillna of deck {deck} needs a fill_value")
+            return df.withColumn(pt, F.coalesce(pt, F.lit(rule["fill_value"])))
+        if rule.get("method") != "function" or rule.get("function") is None:
+            raise ValueError(f"deck {deck} has no rule that is known: {rule}")
+        return df.withColumn(pt, rule["function"](F.col(pt), F.trim(ident), F.trim(F.col(sid).cast("string"))))
+    if model == "gdac" and deck == "717":
+        new_op, new_n = deck_717(F.col(op), F.col(n))
+        return df.withColumns({op: new_op, n: new_n})
+    if model != "icoads" or not deck:
         return df
-    release, deck = parts[1], parts[2].removeprefix("d")
     if f := DECK_FUNCTIONS.get((release, deck)):
         return df.withColumn(pt, f(F.col(pt), F.trim(ident), F.trim(F.col(sid).cast("string"))))
     fill = FILLS.get(release, {}).get(deck)
@@ -120,13 +148,26 @@ def correct_pt(df: DataFrame, imodel: str, pt: str = "c1_pt", ident: str = "core
 
 
 def valid_id(ident: Column, imodel: str, blank: bool = False, patterns: dict[str, list[str]] | None = None) -> Column:
-    """Whether an id begins with a match of one of its deck's patterns; null counts as '' and is valid if `blank` or a
-    pattern allows it. A model without patterns raises."""
+    """Whether an id begins with a match of one of its deck's patterns; null is valid if `blank` or one of them is '^$'. A
+    deck without patterns accepts every text. A model without a library of patterns, or without a deck, raises."""
     parts = imodel.split("_")
-    known = patterns or ID_PATTERNS
     if len(parts) < 3:
         raise ValueError(f"{imodel} names no deck")
-    if parts[:2] != ["icoads", "r300"] or parts[2] not in known:
+    if patterns is None and parts[:2] != ["icoads", "r300"]:
         raise FileNotFoundError(f"no id patterns for {imodel}")
-    match = F.coalesce(ident, F.lit("")).rlike("^(?:" + "|".join(known[parts[2]]) + ")")
-    return F.when(ident.isNull(), match | F.lit(blank)).otherwise(match)
+    known = patterns if patterns is not None else id_patterns()
+    if parts[2] not in known:
+        raise ValueError(f"deck {parts[2]} has no entry among the id patterns")
+    chosen = [*(known[parts[2]] or [".*?"]), *["^$"] * blank]
+    return F.coalesce(ident.rlike("^(?:" + "|".join(chosen) + ")"), F.lit("^$" in chosen))
+
+
+def valid_model_datetime(imodel: str, find: Callable[[str], Column | None]) -> Column:
+    """Whether the time columns of a model hold a time; for models without such, whether a timestamp column `date_time` does."""
+    names = COLUMNS["time"].get(imodel.split("_")[0])
+    if names is None:
+        return F.col("date_time").isNotNull()
+    parts = [find(x) for x in names]
+    if any(p is None for p in parts):
+        raise ValueError(f"no columns {names}")
+    return valid_datetime(*parts)

@@ -17,8 +17,6 @@ from tidemark.plans import specs
 
 TYPES = {"int": "bigint", "numeric": "double", "varchar": "string", "timestamp": "timestamp_ntz", "timestamp with timezone": "timestamp_ntz", "int[]": "array<bigint>", "numeric[]": "array<double>", "varchar[]": "array<string>"}
 METHODS = {"gdac": "method_b"}  # of temperatures in kelvin: with a sign column
-LITERAL_CODES = 200  # larger tables would be joined
-
 
 def resolve(df: DataFrame) -> Callable[[str], Column | None]:
     """Finds 'section.element': as a nested field of `data` or of the row, a column of that name, or 'section:element'."""

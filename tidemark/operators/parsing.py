@@ -74,6 +74,26 @@ def parse_lines(lines: DataFrame, schema: Schema, line: str = "line", sections:
     return out.select(*lines.columns, *cells)
 
 
+def parse_columns(rows: DataFrame, schema: Schema, sections: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
+    """The same cells from rows that have a column per element (array files), named as it or 'section.element'; other columns than those of
+    the schema are kept. What has no column is absent, blank text is missing."""
+    cells = {}
+    for s in schema.sections:
+        name = lambda e: f"{s.name}.{e.name}"  # noqa: B023, E731
+        if (sections and s.name not in sections and not schema.flat) or (excludes and s.name in excludes):
+            continue
+        if s.raw:
+            cells[cell_name(s.name, "")] = "cast(null AS string)"
+            continue
+        for e in s.elements:
+            column = name(e) if name(e) in rows.columns else e.name
+            if column in rows.columns:
+                cells[cell_name(s.name, e.name)] = _cell(f"coalesce(cast(`{column}` AS string), '')", "true", e)
+            else:
+                cells[cell_name(s.name, e.name)] = f"named_struct('v', cast(null AS string), 'st', cast({ABSENT} AS tinyint))"
+    return bind(rows, cells)
+
+
 def _separated(df: DataFrame, s: Section, k: int, text: str, cells: dict[str, str], wanted: Callable[[str, str], bool]) -> DataFrame:
     """A section of fixed widths with delimiters between the fields: a cursor per field."""
     out, sep = bind(df, {f"_f{k}_0": f"_at{k}"}), quoted(s.delimiter)

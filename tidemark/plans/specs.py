@@ -17,6 +17,8 @@ from pathlib import Path
 FOLDER = Path(__file__).resolve().parent.parent / "specs"
 OBSERVATIONS = ["at", "sst", "dpt", "wbt", "wd", "ws", "slp"]
 TABLES = ["header", *[f"observations-{x}" for x in OBSERVATIONS]]
+# Models whose lines are not in UTF-8.
+ENCODINGS = {"icoads/r300/d721": "cp1252"}
 MODELS = ["craid", "gdac", "icoads", "pub47", "marob", "cmems", "csv"]
 
 
@@ -69,6 +71,7 @@ class Element:
     valid_max: float | None = None
     codes: tuple[str, ...] | None = None
     missing: str | None = None
+    codetable: str | None = None  # name of an external table of allowed keys
     encoding: str | None = None
     strip: str | bool | None = None
     ignore: bool = False
@@ -105,9 +108,9 @@ def _range_keys(text: str) -> tuple[str, ...]:
 
 def _element(text: str) -> Element:
     name, width, kind, *options = text.split()
-    known = dict(o.split("=", 1) for o in options)
+    known = dict(o.split("=", 1) if "=" in o else (o, "yes") for o in options)
     number = {k: float(known[v]) for k, v in (("scale", "scale"), ("offset", "offset"), ("valid_min", "min"), ("valid_max", "max")) if v in known}
-    return Element(name, int(width) or None, kind, codes=_range_keys(known["codes"]) if "codes" in known else None, missing=known.get("missing"), encoding=known.get("encoding"), strip=known.get("strip"), ignore="ignore" in known, **number)
+    return Element(name, int(width) or None, kind, codes=_range_keys(known["codes"]) if "codes" in known else None, missing=known.get("missing"), encoding=known.get("encoding"), strip=known.get("strip"), ignore="ignore" in known, datetime_format=known.get("datetime", "%Y%m%d"), **number)
 
 
 @lru_cache
@@ -118,7 +121,8 @@ def _schema_layers() -> dict[str, dict[str, Section | None]]:
         if not line or line.startswith("#"):
             continue
         if line.startswith("model "):
-            layer, section = out.setdefault(line.split()[1], {}), None
+            name, _, same = line[6:].partition(" same=")
+            layer, section = out.setdefault(name, dict(out[same]) if same else {}), None
         elif line.startswith("section "):
             name, _, rest = line[8:].partition(" ")
             options = {k: v.strip('"') for k, v in re.findall(r'(\w+)=("[^"]*"|\S+)', rest)}
@@ -136,7 +140,7 @@ def schema_from_json(spec: dict) -> Schema:
     def element(name: str, e: dict) -> Element:
         flag = str(e.get("ignore", "")).lower() in ("true", "1", "yes")
         codes = tuple(e["codes"]) if "codes" in e else None
-        return Element(name, e.get("field_length"), e.get("column_type", "str"), e.get("scale"), e.get("offset"), e.get("valid_min"), e.get("valid_max"), codes, e.get("missing_value"), e.get("encoding"), e.get("disable_white_strip"), flag, e.get("datetime_format", "%Y%m%d"))
+        return Element(name, e.get("field_length"), e.get("column_type", "str"), e.get("scale"), e.get("offset"), e.get("valid_min"), e.get("valid_max"), codes, e.get("missing_value"), e.get("codetable"), e.get("encoding"), e.get("disable_white_strip"), flag, e.get("datetime_format", "%Y%m%d"))
 
     head = spec.get("header", {})
     if "sections" not in spec:
@@ -151,6 +155,22 @@ def schema_from_json(spec: dict) -> Schema:
     return Schema(tuple(out), head.get("encoding", "utf-8"), len(out) == 1)
 
 
+def validation_tables(s: Schema, ext_table_path: str | Path, imodel: str | None = None) -> dict[str, list[str]]:
+    """{section.element: allowed keys} of the elements that name a table, from JSON tables of a folder: `<table>.json`, or with
+    a model layer by layer (`<layer>/<table>.json`); nested tables give the keys of their first level. A table that is not there raises."""
+    out = {}
+    for part in s.sections:
+        for e in part.elements:
+            if e.codetable is None:
+                continue
+            places = [Path(ext_table_path) / f"{e.codetable}.json", *[Path(ext_table_path) / layer / f"{e.codetable}.json" for layer in (layers(imodel) if imodel else [])]]
+            found = [expand_ranges(json.loads(p.read_text())) for p in places if p.is_file()]
+            if not found:
+                raise FileNotFoundError(f"no table {e.codetable} in {ext_table_path}")
+            out[f"{part.name}.{e.name}"] = list(merge(*found))
+    return out
+
+
 def schema(imodel: str | None = None, ext_schema_file: str | None = None, ext_schema_path: str | None = None) -> Schema:
     """The schema of a JSON file, of a folder with a JSON file of its own name, or of a model of this package, in that order."""
     if ext_schema_file:
@@ -165,7 +185,7 @@ def schema(imodel: str | None = None, ext_schema_file: str | None = None, ext_sc
             sections.pop(name, None) if s is None else sections.__setitem__(name, s)
     if not sections:
         raise FileNotFoundError(f"no schema for {imodel}")
-    return Schema(tuple(s for s in sections.values() if s), "utf-8", len(sections) == 1)
+    return Schema(tuple(s for s in sections.values() if s), ENCODINGS.get("/".join(imodel.split("_")), "utf-8"), len(sections) == 1)
 
 
 def expand_ranges(table: dict, year: int | None = None) -> dict:

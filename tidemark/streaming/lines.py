@@ -12,9 +12,20 @@ from tidemark.operators.selection import ROW_ID
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the files that arrive in a folder. Ids are hashes of file and line, stable when a batch is run again."""
+    """Lines of the files that arrive in a folder. Ids are hashes of file, place of its part and position within the part's rows, so equal
+    lines of a file have ids of their own, and a batch that is run again gives the same ones."""
     lines = spark.readStream.text(folder)
-    return lines.select(F.xxhash64(F.col("_metadata.file_path"), "value").alias(ROW_ID), F.col("value").alias("line"))
+    placed = lines.select(F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
+
+    def number(batches):
+        seen: dict[int, int] = {}  # parts of files that this task reads, each from its start
+        for pdf in batches:
+            within = pdf.groupby("at").cumcount() + pdf["at"].map(seen).fillna(0).astype("int64")
+            for at, n in pdf.groupby("at").size().items():
+                seen[at] = seen.get(at, 0) + int(n)
+            yield pdf.assign(n=within)
+
+    return placed.mapInPandas(number, "at long, line string, n long").select(F.xxhash64("at", "n").alias(ROW_ID), "line")
 
 
 def stream_table(spark: SparkSession, folder: str, imodel: str, table: str, out: str, checkpoint: str, **options) -> StreamingQuery:
