@@ -33,6 +33,14 @@ def _map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+@transform
+def datetime_decimalhour_to_hm(h, *_, **__):
+    """HR and M of a decimal hour, seconds cut off; null for what is no number."""
+    x = number(h)
+    hour = F.floor(x)
+    return F.struct(hour.alias("HR"), F.floor(F.round((x - hour) * 3600, 6) / 60).alias("M"))
+
+
 @transform
 def datetime_imma1(y, m, d, h, **_):
     return timestamp_of(y, m, d, h)

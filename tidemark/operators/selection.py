@@ -58,6 +58,17 @@ def split_by_index(df: DataFrame, index: Iterable[int] | DataFrame, inverse: boo
     return (no, yes) if inverse else (yes, no)
 
 
+def index_lists(df: DataFrame, predicate: Column, row_id: str = ROW_ID) -> tuple[DataFrame, DataFrame]:
+    """Ids of the rows that a predicate selects, and of the others; as tables, they may be long. `inverse` does not matter for them."""
+    yes, no = split(df, predicate)
+    return yes.select(row_id), no.select(row_id)
+
+
+def union_of_ids(*ids: DataFrame) -> DataFrame:
+    """Ids of several lists, each once."""
+    return reduce(lambda a, b: a.unionByName(b), ids).distinct()
+
+
 def count_by_cat(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) of each column's values as text, nulls as 'nan'; one aggregation for all columns."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("value")) for c in columns])).alias("p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.bundle import Bundle, read_mdf
+from tidemark.bundle import Bundle
 from tidemark.functions import text_conversion
 from tidemark.functions.transforms import REGISTRY as T
 from tidemark.operators import corrections, mapping, parsing, selection
@@ -47,11 +47,11 @@ def select_entries(orders):
     return selection.split(orders, selection.entries("o_orderpriority", ["1-URGENT", "2-HIGH"]))[0].select("o_orderkey", "o_orderpriority")
 
 
-@query("orders", "customer", sql="SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("orders", "customer", sql="SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
 def select_index_inverse(orders, customer):
-    """Orders without those of a long index of customers, by an anti join."""
+    """Orders without those of a long index of customers, by an anti join; orders without a customer stay."""
     index = customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return selection.split_by_index(orders.filter("o_custkey is not null"), index, inverse=True, row_id="o_custkey")[0].select("o_orderkey", "o_custkey")
+    return selection.split_by_index(orders, index, inverse=True, row_id="o_custkey")[0].select("o_orderkey", "o_custkey")
 
 
 @query("orders", sql="SELECT o_orderkey, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1995")
@@ -204,15 +204,10 @@ def datetime_imma1(orders):
     return orders.select("o_orderkey", T["datetime_imma1"](F.year("o_orderdate"), month, F.dayofmonth("o_orderdate"), (F.col("o_custkey") % 96) / 4).alias("ts"))
 
 
-@query("orders")
-def uid(orders):
-    """Name-based ids of date and customer."""
-    return orders.select("o_orderkey", T["gdac_uid"](F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.lit(7), F.col("o_custkey"), prepend="u_").alias("uid"))
-
-
-@query("orders", sql="SELECT o_orderkey, year(b)::bigint AS core_yr, month(b)::bigint AS core_mo, day(b)::bigint AS core_dy, (o_custkey % 2 * 6)::double AS core_hr FROM (SELECT *, CASE WHEN o_custkey % 2 = 0 AND year(o_orderdate) - 96 <= 1899 THEN make_date(year(o_orderdate) - 96, month(o_orderdate), day(o_orderdate)) - 1 ELSE make_date(year(o_orderdate) - 96, month(o_orderdate), day(o_orderdate)) END AS b FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29))")
+@query("orders", sql="SELECT o_orderkey, CASE WHEN old THEN year(b) ELSE y END::bigint AS core_yr, CASE WHEN old THEN month(b) ELSE m END::bigint AS core_mo, CASE WHEN old THEN day(b) ELSE d END::bigint AS core_dy, (o_custkey % 2 * 6)::double AS core_hr FROM (SELECT *, TRY(make_date(y, m, d)) - 1 AS b, o_custkey % 2 = 0 AND y <= 1899 AS old FROM (SELECT *, year(o_orderdate) - 96 AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders))")
 def correct_datetime(orders):
-    rows = orders.filter("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)").select("o_orderkey", (F.year("o_orderdate") - 96).cast("long").alias("core_yr"), F.month("o_orderdate").cast("long").alias("core_mo"), F.dayofmonth("o_orderdate").cast("long").alias("core_dy"), (F.col("o_custkey") % 2 * 6).cast("double").alias("core_hr"))
+    """Midnights up to 1899 are those of the day before; of a date that does not exist (29 February 1900) they are null."""
+    rows = orders.select("o_orderkey", (F.year("o_orderdate") - 96).cast("long").alias("core_yr"), F.month("o_orderdate").cast("long").alias("core_mo"), F.dayofmonth("o_orderdate").cast("long").alias("core_dy"), (F.col("o_custkey") % 2 * 6).cast("double").alias("core_hr"))
     return corrections.correct_datetime(rows, "icoads_r300_d201")
 
 
@@ -269,11 +264,3 @@ def text_round_trip(cdm_header):
     text = cdm_header.select("row_id", *[text_conversion.to_str(F.col(c), k).alias(c) for c, k in kinds.items()])
     back = text.select("row_id", *[text_conversion.from_str(F.col(c), k).alias(c) for c, k in kinds.items()])
     return back.select("row_id", F.size("application_area").cast("long").alias("n_areas"), "report_timestamp", "location_quality")
-
-
-@query("raw_lines")
-def read_report_lines(raw_lines):
-    """All report lines of one model through the compiled parser: rows, and those with a valid hour, by year."""
-    lines = raw_lines.filter("imodel = 'icoads'").select(F.col("line_id").alias("_row_id"), "line")
-    b = read_mdf(lines.sparkSession, lines, "icoads_r300", sections=["core"])
-    return b.df.groupBy(F.col("data.core.YR").alias("year")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("mask.core.HR"), 1).otherwise(0)).alias("n_valid_hours"))
