@@ -39,7 +39,19 @@ def p2_found(reports):
     return near_duplicates.pairs_found(reports)
 
 
-@query("reports")
+def _groups_sql() -> str:
+    fields = ", ".join(near_duplicates.REPORT_FIELDS)
+    same = " AND ".join(f"r.{f} IS NOT DISTINCT FROM c.{f}" for f in near_duplicates.REPORT_FIELDS)
+    return f"""WITH RECURSIVE cl AS (SELECT {fields}, min(row_id) AS class_id FROM reports GROUP BY ALL),
+mem AS (SELECT row_id, class_id FROM reports r JOIN cl c ON {same}),
+prs AS ({_near_sql()}),
+edges AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM prs JOIN mem a ON a.row_id = row_id_a JOIN mem b ON b.row_id = row_id_b WHERE a.class_id <> b.class_id),
+linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+walk(id, root) AS (SELECT class_id, class_id FROM cl UNION SELECT b, root FROM walk JOIN linked ON a = id)
+SELECT row_id, class_id, (SELECT count(*) FROM linked WHERE a = class_id) AS links, root AS group_id FROM mem JOIN (SELECT id, min(root) AS root FROM walk GROUP BY 1) ON id = class_id"""
+
+
+@query("reports", sql=_groups_sql())
 def p2_groups(reports):
     """One row per report with its class of exact copies, its links and its group."""
     return near_duplicates.groups(reports)
