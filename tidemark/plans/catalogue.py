@@ -108,19 +108,40 @@ def p4_found(observations, elements):
     return unit_resolution.found(observations, elements)
 
 
-@query("observations", "elements")
+@query("observations", "elements", sql=f"WITH {UNITS} SELECT row_id, observed_variable, unit, {_common('observation_value', 'unit')} AS common_value, 'stated' AS basis FROM read")
 def p4_common_values(observations, elements):
     """Every value in K, Pa or m/s, with the unit it was in and how that is known."""
     out = unit_resolution.resolve_units(observations, elements).filter(F.col("_u_unit").isNotNull())
     return out.select("row_id", "observed_variable", F.col("_u_unit").alias("unit"), F.col("_u_value").alias("common_value"), F.col("_u_basis").alias("basis"))
 
 
-@query("raw_lines", "elements", "schema_header")
+# fields of delimited lines, fields of fixed-width ones by the lengths of sections and elements, then the reasons in order
+P5 = """WITH ln AS (SELECT line_id, l.imodel, translate(coalesce(line, ''), chr(10) || chr(13), '  ') AS line, any_value(field_layout) AS layout, any_value(delimiter) AS d FROM raw_lines l JOIN schema_header h ON h.imodel = l.imodel GROUP BY ALL),
+dl AS (SELECT line_id, imodel, line, d, replace('(?:^|D)("(?:[^"]|"")*"|[^"D]*)', 'D', CASE d WHEN '|' THEN '\\|' ELSE d END) AS cell FROM ln WHERE layout = 'delimited'),
+dc AS (SELECT line_id, imodel, [CASE WHEN x LIKE '"%"' THEN trim(replace(substr(x, 2, length(x) - 2), '""', '"')) ELSE trim(x) END FOR x IN regexp_extract_all(line, cell, 1)] AS cells,
+  NOT regexp_full_match(line, replace('(?:"(?:[^"]|"")*"|[^"D]*)(?:D(?:"(?:[^"]|"")*"|[^"D]*))*', 'D', CASE d WHEN '|' THEN '\\|' ELSE d END)) AS badly_quoted, length(regexp_replace(line, '"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(line, '"(?:[^"]|"")*"', '', 'g'), d, '')) + 1 AS n_fields FROM dl),
+wd AS (SELECT imodel, section, section_no, coalesce(sentinel, '') AS sentinel, parsing_order LIKE '%{"o": ["' || section || '"]}%' AS optional, (SELECT sum(field_length) FROM elements e WHERE e.imodel = h.imodel AND e.section = h.section) AS width, count(*) OVER (PARTITION BY imodel) AS k FROM schema_header h WHERE field_layout = 'fixed_width'),
+f0 AS (SELECT line_id, ln.imodel, line, s1.width AS a1, s1.k AS k, s2.sentinel AS t2, s2.width AS w2, s3.sentinel AS t3, s3.width AS w3 FROM ln JOIN wd s1 ON s1.imodel = ln.imodel AND s1.section_no = (SELECT min(section_no) FROM wd w WHERE w.imodel = ln.imodel) LEFT JOIN wd s2 ON s2.imodel = ln.imodel AND s2.optional LEFT JOIN wd s3 ON s3.imodel = ln.imodel AND NOT s3.optional AND s3.section <> s1.section WHERE layout = 'fixed_width'),
+f1 AS (SELECT *, length(line) AS n, coalesce(starts_with(substr(line, a1::int + 1), t2), false) AS has2 FROM f0),
+f2 AS (SELECT *, a1 + CASE WHEN has2 THEN w2 ELSE 0 END AS a2 FROM f1),
+fx AS (SELECT *, CASE WHEN n < a1 THEN 'length' WHEN n < a2 THEN 'length' WHEN t3 IS NOT NULL AND NOT starts_with(substr(line, a2::int + 1), t3) THEN 'section' WHEN n < a2 + coalesce(w3, 0) THEN 'length' WHEN n > a2 + coalesce(w3, 0) THEN CASE WHEN k > 1 THEN 'section' ELSE 'length' END END AS cut FROM f2),
+el AS (SELECT *, sum(field_length) OVER (PARTITION BY imodel, section ORDER BY elem_no) - field_length AS start, row_number() OVER (PARTITION BY imodel ORDER BY elem_no) AS i, count(*) OVER (PARTITION BY imodel) AS n_elements FROM elements),
+vs AS (SELECT line_id, e.*, cells[i] AS cell FROM dc JOIN el e ON e.imodel = dc.imodel WHERE NOT badly_quoted AND n_fields = n_elements
+  UNION ALL SELECT line_id, e.*, trim(substr(line, (CASE WHEN w.sentinel = '' THEN 0 WHEN w.optional THEN a1 ELSE a2 END + start + 1)::int, field_length::int)) FROM fx JOIN el e ON e.imodel = fx.imodel JOIN wd w ON w.imodel = e.imodel AND w.section = e.section WHERE cut IS NULL AND (NOT w.optional OR has2)),
+ck AS (SELECT *, cell <> '' AND cell <> coalesce(missing_value, '') AS filled, CASE column_type WHEN 'int' THEN regexp_full_match(cell, '[+-]?[0-9]+') WHEN 'float' THEN regexp_full_match(cell, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') END AS number FROM vs),
+bd AS (SELECT line_id, bool_or(filled AND (NOT coalesce(number, true) OR CASE WHEN number THEN round(TRY_CAST(cell AS double) * coalesce(scale, 1), 9) NOT BETWEEN coalesce(valid_min, -1e300) AND coalesce(valid_max, 1e300) ELSE false END OR (codes IS NOT NULL AND NOT list_contains(string_split(codes, ','), cell)))) AS bad FROM ck GROUP BY 1)
+"""
+
+
+@query("raw_lines", "elements", "schema_header", sql=P5 + """SELECT line_id, reason FROM (SELECT line_id, CASE WHEN badly_quoted THEN 'quoting' WHEN n_fields <> (SELECT count(*) FROM elements e WHERE e.imodel = dc.imodel) THEN 'columns' WHEN bad THEN 'value' END AS reason FROM dc LEFT JOIN bd USING (line_id)
+  UNION ALL SELECT line_id, coalesce(cut, CASE WHEN bad THEN 'value' END) FROM fx LEFT JOIN bd USING (line_id)) WHERE reason IS NOT NULL""")
 def p5_found(lines, elements, schema_header):
     return rejects.found(lines, elements, schema_header)
 
 
-@query("raw_lines", "elements", "schema_header")
+@query("raw_lines", "elements", "schema_header", sql=P5 + """SELECT line_id, max(CASE WHEN element = 'marob_id' AND filled THEN cell::bigint END) AS marob_id, max(CASE WHEN element = 'kennung' AND filled THEN cell END) AS kennung, max(CASE WHEN element = 'geogr_laenge' AND filled THEN cell::double END) AS geogr_laenge, max(CASE WHEN element = 'geogr_breite' AND filled THEN cell::double END) AS geogr_breite,
+  max(CASE WHEN element = 'messzeit' AND filled THEN cell END) AS messzeit, max(CASE WHEN element = 'lufttemperatur' AND filled THEN cell::double END) AS lufttemperatur, max(CASE WHEN element = 'taupunkttemperatur' AND filled THEN cell::double END) AS taupunkttemperatur, max(CASE WHEN element = 'wassertemperatur' AND filled THEN cell::double END) AS wassertemperatur, max(CASE WHEN element = 'luftdruck_stationshoehe' AND filled THEN cell::double END) AS luftdruck_stationshoehe,
+  max(CASE WHEN element = 'windrichtung' AND filled THEN cell::bigint END) AS windrichtung, max(CASE WHEN element = 'windgeschwindigkeit' AND filled THEN cell::double END) AS windgeschwindigkeit, max(CASE WHEN element = 'bemerkung' AND filled THEN cell END) AS bemerkung FROM ck JOIN bd USING (line_id) WHERE NOT bad AND imodel = 'marob' GROUP BY line_id""")
 def p5_marob_fields(lines, elements, schema_header):
     """The valid lines of one delimited schema as typed columns."""
     return rejects.fields_of(rejects.load_lines(lines, elements, schema_header), elements, schema_header, "marob")
