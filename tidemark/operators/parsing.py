@@ -139,10 +139,10 @@ def strip_sql(text: str, how: str | bool | None = None) -> str:
 def java_format(pattern: str) -> str:
     """A strptime pattern as one of Spark."""
     known = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%y": "yy", "%j": "DDD"}
-    out = pattern.replace("T", "'T'")
+    out = pattern.replace("T", "'T'").replace("Z", "'Z'")
     for k, v in known.items():
         out = out.replace(k, v)
-    return out
+    return out.removesuffix(".f") + "[.SSSSSS]" if out.endswith(".f") else out
 
 
 def numeric(e: Element) -> bool:
