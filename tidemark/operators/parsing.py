@@ -76,7 +76,8 @@ def parse_lines(lines: DataFrame, schema: Schema, line: str = "line", sections:
 
 def parse_columns(rows: DataFrame, schema: Schema, sections: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
     """The same cells from rows that have a column per element (array files), named as it or 'section.element'; other columns than those of
-    the schema are kept. What has no column is absent, blank text is missing."""
+    the schema are kept. What has no column is absent, null and blank text are missing. Where files lack columns, `_has` names those
+    that a row's file has."""
     cells = {}
     for s in schema.sections:
         name = lambda e: f"{s.name}.{e.name}"  # noqa: B023, E731
@@ -88,7 +89,8 @@ def parse_columns(rows: DataFrame, schema: Schema, sections: list[str] | None =
         for e in s.elements:
             column = name(e) if name(e) in rows.columns else e.name
             if column in rows.columns:
-                cells[cell_name(s.name, e.name)] = _cell(f"coalesce(cast(`{column}` AS string), '')", "true", e)
+                present = f"array_contains(`_has`, {quoted(column)})" if "_has" in rows.columns else "true"
+                cells[cell_name(s.name, e.name)] = _cell(f"coalesce(cast(`{column}` AS string), '')", present, e)
             else:
                 cells[cell_name(s.name, e.name)] = f"named_struct('v', cast(null AS string), 'st', cast({ABSENT} AS tinyint))"
     return bind(rows, cells)

@@ -149,16 +149,19 @@ def rows_of(content: bytes, names: list[str]) -> pd.DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Rows of all files of a path: `_row_id`, file, and the names as text columns, null where a file lacks one."""
+    """Rows of all files of a path: `_row_id`, file, the names as text columns, and `_has`, those that the file has."""
     raw = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(batches):
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"]):
-                yield rows_of(bytes(content), names).reindex(columns=names).astype(object).where(lambda x: x.notna(), None).assign(file=file)[["file", *names]]
+                frame = rows_of(bytes(content), names)
+                has = [list(frame.columns)] * len(frame)
+                frame = frame.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+                yield frame.assign(file=file, _has=has)[["file", "_has", *names]]
 
     columns = ", ".join(f"`{n}` string" for n in names)
-    return raw.mapInPandas(run, f"file string, {columns}").withColumn(ROW_ID, F.monotonically_increasing_id())
+    return raw.mapInPandas(run, f"file string, _has array<string>, {columns}").withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def read_arrays(spark: SparkSession, path: str, imodel: str, **options) -> Bundle:
