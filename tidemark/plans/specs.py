@@ -218,7 +218,7 @@ def _value(text: str):
 def _pairs(text: str) -> dict:
     out: dict = {}
     for key, nested, plain in re.findall(r"(\[[^\]]*\]|[^\s={}]+)=(?:\{([^}]*)\}|(\S+))", text):
-        out[key] = _pairs(nested) if nested else _value(plain)
+        out[key.replace("~", " ")] = _pairs(nested) if nested else _value(plain.replace("~", " "))
     return out
 
 
