@@ -5,7 +5,7 @@ each observation id once. Readings are range-partitioned by series and time, so
 passes over its part once, with the nine readings on either side of it added (the edges of all parts, 18 rows a part, are
 what the driver holds).
 
-Robust seasonal-trend decomposition: the slow trend is the running median of nine readings, the seasonal part the median of the
+Robust seasonal-trend decomposition: the slow trend is the running median of nine readings (fewer at the ends of a series), the seasonal part the median of the
 detrended readings of an hour of the day (where it has ten or more), the remainder what is left. The fast trend is the
 running median of three; what is left of it shows what lasts for one reading only. Remainders are studentised by robust scales,
 1.4826 times the median absolute remainder (slow) and that of the changes between neighbours over the root of two (fast), and
