@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ def tokenizer(name: str, folder: str = FOLDER):
     """(tiktoken encoding, bytes of each token), once per worker process."""
     import tiktoken
 
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+    path = os.path.join(folder, f"{name}.tiktoken")
+    # a machine without the folder has the file that the driver sent
+    with open(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
     for token, rank in ranks.items():
@@ -115,6 +118,8 @@ def _lists(ids: list) -> pa.Array:
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER, piece: int = PIECE, also: list[str] = []) -> DataFrame:
     """(key, *also, ids) of every row; also: columns that go with the row."""
+    if os.path.exists(path := os.path.join(folder, f"{name}.tiktoken")):
+        documents.sparkSession.sparkContext.addFile(path)
     kept = [key, *also]
     kinds = "".join(f"`{c}` {dict(documents.dtypes)[c]}, " for c in kept)
     rows = documents.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
