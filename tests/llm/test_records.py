@@ -108,6 +108,30 @@ def test_sketches_are_no_further_apart_than_records(fields):
     assert (told <= true).all() and (fields != 15 or (true - told).max() <= 6)
 
 
+def test_no_table_of_records_goes_through_the_driver(spark, monkeypatch):
+    """Spark holds records for smaller than they are, so its own choice broadcasts millions of them."""
+    real, plans = nd.cut, []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def cut(df):
+        out = real(df)
+        plan(df)
+        return out
+
+    monkeypatch.setattr(nd, "cut", cut)
+    monkeypatch.setattr(nd, "MEMBERS", 2)  # so that choices go on, with a join each
+    df, rows = table(spark, 120)
+    out = nd.pairs_found(df.toDF("row_id", *nd.REPORT_FIELDS, "_class"))
+    assert {tuple(r) for r in out.collect()} == brute(rows)
+    plan(out)
+    grouped = nd.groups(df, "row_id", FIELDS)
+    assert len(grouped.collect()) == 120
+    plan(grouped)
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_groups_and_empty(spark):
     df, rows = table(spark, 60)
     out = nd.groups(df, "row_id", FIELDS).collect()

@@ -56,12 +56,18 @@ def record_tokens(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("_id"), F.array(*[F.xxhash64(F.lit(i), value(f)) for i, f in enumerate(fields)]).alias("_tok"))
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Joined by shuffle, whatever the sizes are held to be: Spark counts an array as one element and so holds tables of records for a
+    small part of what they are, and a broadcast of one goes through the driver's memory."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def classes(tokens: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """Each record with the smallest id among its exact copies: `_id`, `_class`. Copies are told by 128 bits. Of `reps`, those without
     copies are taken as they are, so that only the keys of the others meet the records."""
     reps = representatives(tokens) if reps is None else reps
     several = reps.filter("_copies > 1").select("_h1", "_h2", F.col("_id").alias("_class"))
-    copies = tokens.select("_id", *_copy_key()).join(several, ["_h1", "_h2"]).select("_id", "_class")
+    copies = _meet(tokens.select("_id", *_copy_key()), several, ["_h1", "_h2"]).select("_id", "_class")
     return reps.filter("_copies = 1").select("_id", F.col("_id").alias("_class")).unionByName(copies)
 
 
@@ -284,17 +290,17 @@ def near_duplicate_pairs(df: DataFrame, key: str = "row_id", fields: list[str] =
         large = raw.filter(F.col("_b").isNull() & (F.col("_state") >= 0))
         # what shares all that a pair must share is a pair; these are joined, not collected
         final = large.filter(F.col("_state").bitwiseAND(0xFFFF) >= shared)
-        small = small.unionByName(final.select("_band", "_a").join(final.select("_band", F.col("_a").alias("_b")), "_band").filter(F.col("_a") < F.col("_b")).select("_a", "_b"))
+        small = small.unionByName(_meet(final.select("_band", "_a"), final.select("_band", F.col("_a").alias("_b")), "_band").filter(F.col("_a") < F.col("_b")).select("_a", "_b"))
         large = large.filter(F.col("_state").bitwiseAND(0xFFFF) < shared).select(F.col("_a").alias("_id"), "_band", "_state")
         if not large.head(1):
             break
-        further = large.join(reps.select("_id", "_tok"), "_id").select("_id", "_tok", "_band", "_state")
+        further = _meet(large, reps.select("_id", "_tok"), "_id").select("_id", "_tok", "_band", "_state")
         keyed = further.mapInArrow(prefix_choices(heavy, shares, FURTHER_BITS, shared, max_diff), kind)
     pairs = small.distinct()
     a = reps.select(F.col("_id").alias("_a"), F.col("_tok").alias("_ta"))
     b = reps.select(F.col("_id").alias("_b"), F.col("_tok").alias("_tb"))
     differ = F.aggregate(F.zip_with("_ta", "_tb", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
-    checked = pairs.join(a, "_a").join(b, "_b").select("_a", "_b", differ.alias("_diff"))
+    checked = _meet(_meet(pairs, a, "_a"), b, "_b").select("_a", "_b", differ.alias("_diff"))
     return checked.filter(F.col("_diff") <= max_diff), tokens, reps
 
 
@@ -302,11 +308,11 @@ def pairs_found(reports: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b), a < b: each pair of rows of one observation, copies among them."""
     pairs, tokens, reps = near_duplicate_pairs(reports)
     pairs, of = cut(pairs.select("_a", "_b")), cut(classes(tokens, reps))
-    several = of.join(reps.filter("_copies > 1").select(F.col("_id").alias("_class")), "_class")
+    several = _meet(of, reps.filter("_copies > 1").select(F.col("_id").alias("_class")), "_class")
     x, y = several.select("_class", F.col("_id").alias("row_id_a")), several.select("_class", F.col("_id").alias("row_id_b"))
-    copies = x.join(y, "_class").filter(F.col("row_id_a") < F.col("row_id_b")).select("row_id_a", "row_id_b")
-    left = pairs.join(of.select(F.col("_class").alias("_a"), F.col("_id").alias("u")), "_a")
-    between = left.join(of.select(F.col("_class").alias("_b"), F.col("_id").alias("v")), "_b")
+    copies = _meet(x, y, "_class").filter(F.col("row_id_a") < F.col("row_id_b")).select("row_id_a", "row_id_b")
+    left = _meet(pairs, of.select(F.col("_class").alias("_a"), F.col("_id").alias("u")), "_a")
+    between = _meet(left, of.select(F.col("_class").alias("_b"), F.col("_id").alias("v")), "_b")
     return between.select(F.least("u", "v").alias("row_id_a"), F.greatest("u", "v").alias("row_id_b")).unionByName(copies)
 
 
@@ -318,9 +324,9 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        e = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        e = _meet(both, least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        linked = e.join(least, "u")
+        linked = _meet(e, least, "u")
         e = cut(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -338,5 +344,5 @@ def groups(df: DataFrame, key: str = "row_id", fields: list[str] = REPORT_FIELDS
     ends = pairs.select(F.col("_a").alias("_class")).unionAll(pairs.select(F.col("_b").alias("_class")))
     links = ends.groupBy("_class").agg(F.count("*").alias("links"))
     roots = components(pairs).withColumnRenamed("_id", "_class")
-    out = classes(tokens, reps).join(links, "_class", "left").join(roots, "_class", "left")
+    out = _meet(_meet(classes(tokens, reps), links, "_class", "left"), roots, "_class", "left")
     return out.select(F.col("_id").alias(key), F.col("_class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("_root", "_class").alias("group_id"))
