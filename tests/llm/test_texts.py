@@ -129,6 +129,30 @@ def test_templates_are_induced_by_alignment(spark):
         residue.TEMPLATES = 500_000
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_long_sentences_and_short_templates_are_aligned(spark, monkeypatch, most):
+    """Sentences of more than 60 words, and blanks with one word on either side; held by a task and joined."""
+    monkeypatch.setattr(residue, "TEMPLATES", most)
+    log, list_ = (" ".join(f"{c}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)) for c in "kl")
+    texts = [
+        f"{log} we cannot find that page {log}", f"{log} we cannot find that sheet {log}", f"{log} we cannot find another {log} sheet", f"The {list_} was ____ there {list_}", f"The {list_} was left there {list_}", f"The {list_} was right there {list_}",
+        f"The {log} was ____ there", "Date ____.", "Date Monday.", "Date Friday.", "Post ____.", "Post Monday.",
+    ]
+    assert {r.doc_id for r in residue.found(documents(spark, texts)).collect()} == {0, 1, 3, 7}
+    found = {(r.template, r.kind, r.records, r.fillings) for r in residue.templates(documents(spark, texts)).collect()}
+    assert (f"{log} we cannot find that * {log}", "error", 2, 2) in found and len(found) == 6 and not any(residue.DIGEST in t for t, *_ in found)
+
+
+@pytest.mark.parametrize("n", [4, 60, 61, 62, 63, 200])
+def test_keys_are_equal_if_templates_are(n):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+    for i in (0, 1, n // 2, n - 2):
+        other = {k: (a, b) for k, a, b in residue.aligned([*words[:i], "x", "y", *words[i + 1 :]])}
+        common = {(k, a, b, *other[k]) for k, a, b in residue.aligned(words) if k in other}
+        assert common and all(words[:a] == words[:c] and a == c and b - a + 1 == d - c and a <= i < b for _, a, b, c, d in common)
+        assert residue._key(words[:i], words[i + 1 :]) in {k for k, *_ in common}
+
+
 def test_the_prefilter_loses_no_wording():
     """Whatever a wording may match holds a word that the automaton looks for, folded or not."""
     automaton = residue._automaton()

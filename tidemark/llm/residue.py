@@ -1,7 +1,8 @@
 """Template residue, filler and error-page text (problem 10).
 
 Records are cut into sentences, which are aligned across all records: two belong to one template if they are equal but for one span of
-up to three words each (numbers and hexadecimal ids count as equal). That span is the template's slot.
+up to three words each (numbers and hexadecimal ids count as equal). That span is the template's slot. Sentences may have any length:
+templates of more than 60 words are told by digests of what stands before and behind the slot, so their number times their length never counts.
 
 1. Marks of known mark-ups, wordings of filler, of messages of servers and programs and of notices that scripts are needed give the
    first cases. A sentence that speaks of marks (with words for marking, replacing or printing around them) is a mention and no case.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,7 +93,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。])\s+|(?<=。)|\n")
 
 _WORD = re.compile(r"[-+]?\d+(?:[.,:]\d+)*(?![^\W_])|[^\W_]+|[^\w\s]|_+")
 _HEX = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
-SLOT, LONGEST, FIXED, SPAN = " \ue000 ", 60, 4, 3
+SLOT, DIGEST, WRITTEN, FIXED, SPAN = " \ue000 ", "\ue001", 60, 4, 3  # templates of more than WRITTEN words are told by digests
 TEMPLATES = 500_000  # that a task holds; more are joined
 
 
@@ -104,15 +106,36 @@ def words_of(sentence: str) -> list[str]:
     return [_alike(w) for w in _WORD.findall(sentence)]
 
 
+def _digests(words: list[str]) -> list[str]:
+    """Of the first none, one, two and so on of the words."""
+    so_far = blake2b(digest_size=16)
+    out = [so_far.hexdigest()]
+    for w in words:
+        so_far.update(f"{w} ".encode())
+        out.append(so_far.hexdigest())
+    return out
+
+
+def _key(before: list[str], after: list[str]) -> str:
+    """The template with these words around its slot."""
+    if len(before) + len(after) <= WRITTEN:
+        return " ".join(before) + SLOT + " ".join(after)
+    return f"{DIGEST}{len(before)} {_digests(before)[-1]} {_digests(after[::-1])[-1]}"
+
+
 def aligned(words: list[str]):
-    """(key, filling) of each template that a sentence may belong to: one span of up to three words is its slot. A template
+    """(key, i, j) of each template that a sentence may belong to: words i to j, up to three, are its slot. A template
     holds a word at least."""
     n = len(words)
+    before, after = (_digests(words), _digests(words[::-1])) if n > WRITTEN else ([], [])
     for size in range(0, SPAN + 1):
         if n - size < 2:
             return
         for i in range(n - size + 1):
-            yield " ".join(words[:i]) + SLOT + " ".join(words[i + size :]), " ".join(words[i : i + size])
+            if n - size > WRITTEN:
+                yield f"{DIGEST}{i} {before[i]} {after[n - size - i]}", i, i + size
+            else:
+                yield " ".join(words[:i]) + SLOT + " ".join(words[i + size :]), i, i + size
 
 
 def sentences(folded: str) -> list[str]:
@@ -172,11 +195,16 @@ def _words_automaton(words: dict):
     return found
 
 
+def _around(segment: str, pattern: re.Pattern) -> tuple[list[str], list[str]]:
+    """The words before and behind what `pattern` finds first."""
+    m = pattern.search(segment)
+    return words_of(segment[: m.start()]), words_of(segment[m.end() :])
+
+
 def _template(segment: str, pattern: re.Pattern) -> str | None:
     """The key of a sentence whose slot is what `pattern` finds first."""
-    m = pattern.search(segment)
-    before, after = words_of(segment[: m.start()]), words_of(segment[m.end() :])
-    return " ".join(before) + SLOT + " ".join(after) if len(before) + len(after) >= 2 and any(w.isalpha() for w in before + after) else None
+    before, after = _around(segment, pattern)
+    return _key(before, after) if len(before) + len(after) >= 2 and any(w.isalpha() for w in before + after) else None
 
 
 def judge(text: str, automaton=None) -> list[tuple[str, str, str | None]]:
@@ -203,7 +231,7 @@ def judge(text: str, automaton=None) -> list[tuple[str, str, str | None]]:
         if seen:
             for segment in sentences(folded):
                 kind = next((k for k, patterns in seen.items() if any(p.search(segment) for p in patterns)), None)
-                if kind and FIXED < len(words_of(segment)) <= LONGEST:
+                if kind and FIXED < len(words_of(segment)):
                     out.append(("induce", segment, kind))
     if _MAY_BE_MARK.search(folded) and (_MARK.search(folded) or _WEAK.search(folded)):
         for segment in _SENTENCE.split(folded):
@@ -231,13 +259,13 @@ def suspicious(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _alignments(documents: DataFrame, seeds: DataFrame, key: str, text: str) -> DataFrame:
     """(key, template, filling) of the sentences of all texts that are aligned with one of the templates of `seeds` (template,
-    first, last). The templates are what a task holds, if they are few; else sentences and templates are joined."""
+    first, last, anchor). The templates are what a task holds, if they are few; else sentences and templates are joined."""
     rows = documents.filter(F.col(text).isNotNull()).select(key, text)
     known = seeds.limit(TEMPLATES + 1).toPandas()
     few = len(known) <= TEMPLATES
     keys, ends = (set(known["template"]), set(known["first"]) | set(known["last"])) if few else (None, None)
-    # the longest word of each template: a text without any of them is aligned with none
-    anchors = {max((w for w in k.replace(SLOT, " ").split() if w.isalpha()), key=len, default="") for k in keys} if few else {""}
+    # a text without any of them is aligned with none
+    anchors = set(known["anchor"]) if few else {""}
     shared = documents.sparkSession.sparkContext.broadcast((keys, ends, None if "" in anchors or not anchors else anchors))
 
     def run(batches):
@@ -255,26 +283,31 @@ def _alignments(documents: DataFrame, seeds: DataFrame, key: str, text: str) ->
                     if keys is not None and not any(e in ends for e in _ends(segment)):
                         continue
                     words = words_of(segment)
-                    if not 2 < len(words) <= LONGEST:
-                        continue
-                    if keys is None:
-                        found += [(k, x, f) for x, f in aligned(words)]
-                    else:
-                        found += [(k, x, f) for x, f in aligned(words) if x in keys]
+                    if len(words) > 2:
+                        found += [(k, x, " ".join(words[i:j])) for x, i, j in aligned(words) if keys is None or x in keys]
             yield pd.DataFrame(found, columns=[key, "template", "filling"])
 
     out = rows.mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, template string, filling string")
     return out if few else out.join(seeds.select("template").distinct(), "template", "left_semi")
 
 
-def _ends(segment: str) -> tuple[str, str]:
-    """The first two words and the last two: a template that has four outside of its slot keeps one of them."""
+def _ends(segment: str) -> tuple[str, str, str]:
+    """The first two words, the last two, and the first and the last: a template with two words or more on a side of its slot keeps
+    one of the former, one with a word on either side the latter."""
     head, tail = _WORD.findall(" ".join(segment.split(None, 2)[:2])), _WORD.findall(" ".join(segment.rsplit(None, 2)[-2:]))
-    return " ".join(map(_alike, head[:2])), "\n" + " ".join(map(_alike, tail[-2:]))
+    head, tail = [_alike(w) for w in head[:2]], [_alike(w) for w in tail[-2:]]
+    return " ".join(head), "\n" + " ".join(tail), head[0] + "\n" + tail[-1]
+
+
+def _kept(left: list[str], right: list[str], n_left: int, n_right: int) -> tuple[str | None, str | None]:
+    """What any sentence of a template has among its `_ends`; left, right: its first and last words."""
+    if n_left == n_right == 1:
+        return left[0] + "\n" + right[-1], None
+    return " ".join(left[:2]) if n_left > 1 else None, "\n" + " ".join(right[-2:]) if n_right > 1 else None
 
 
 def _seeds(segments: DataFrame) -> DataFrame:
-    """(template, kind, first, last) of the templates that suspicious segments induce."""
+    """(template, kind, first, last, anchor) of the templates that suspicious segments induce; anchor is the longest word."""
 
     def run(batches):
         for pdf in batches:
@@ -282,17 +315,38 @@ def _seeds(segments: DataFrame) -> DataFrame:
             for kind, segment, template in zip(pdf["kind"], pdf["segment"], pdf["template"]):
                 if kind == "induce":
                     words = words_of(segment)
-                    for key, _ in aligned(words):
-                        left, right = (x.split() for x in key.split(SLOT))
-                        if len(left) + len(right) >= FIXED and any(w.isalpha() for w in left + right) and 3 * (len(left) + len(right)) >= 2 * len(words):
-                            found.append((key, template, " ".join(left[:2]) if len(left) > 1 else None, "\n" + " ".join(right[-2:]) if len(right) > 1 else None))
+                    n, longest = len(words), sorted((k for k, w in enumerate(words) if w.isalpha()), key=lambda k: -len(words[k]))
+                    for key, i, j in aligned(words):
+                        anchor = next((words[k] for k in longest if not i <= k < j), None)
+                        if n - j + i >= FIXED and anchor and 3 * (n - j + i) >= 2 * n:
+                            found.append((key, template, *_kept(words[: min(i, 2)], words[max(j, n - 2) :], i, n - j), anchor))
                 else:
-                    left, right = (x.split() for x in template.split(SLOT))
-                    found.append((template, "blank", " ".join(left[:2]) if len(left) > 1 else None, "\n" + " ".join(right[-2:]) if len(right) > 1 else None))
-            yield pd.DataFrame(found, columns=["template", "kind", "first", "last"]).drop_duplicates()
+                    left, right = _around(segment, _WEAK)
+                    found.append((template, "blank", *_kept(left, right, len(left), len(right)), max((w for w in left + right if w.isalpha()), key=len)))
+            yield pd.DataFrame(found, columns=["template", "kind", "first", "last", "anchor"]).drop_duplicates()
 
     kinds = segments.filter(F.col("kind").isin("induce", "blank")).select("kind", "segment", "template").distinct()
-    return kinds.mapInPandas(run, "template string, kind string, first string, last string").distinct()
+    return kinds.mapInPandas(run, "template string, kind string, first string, last string, anchor string").distinct()
+
+
+def _written(found: DataFrame, segments: DataFrame) -> DataFrame:
+    """`found` with its templates as text, those of digests from a sentence that induces them."""
+    columns, induce = found.columns, segments.filter("kind = 'induce'").select("segment", F.sha2("segment", 256).alias("of")).distinct()
+
+    def places(batches):
+        for pdf in batches:
+            each = [(of, words_of(segment)) for of, segment in zip(pdf["of"], pdf["segment"])]
+            yield pd.DataFrame([(key, of, i, j) for of, words in each if len(words) > WRITTEN for key, i, j in aligned(words) if key[0] == DIGEST], columns=["template", "of", "i", "j"])
+
+    def write(batches):
+        for pdf in batches:
+            of = [" ".join(words[:i]) + SLOT + " ".join(words[j:]) for words, i, j in zip(map(words_of, pdf["segment"]), pdf["i"], pdf["j"])]
+            yield pdf.assign(template=of)[columns]
+
+    digest = F.col("template").startswith(DIGEST)
+    at = found.filter(digest).join(induce.mapInPandas(places, "template string, of string, i int, j int"), "template")
+    at = at.groupBy(*columns).agg(F.min(F.struct("of", "i", "j")).alias("at")).select(*columns, "at.*").join(induce, "of")
+    return found.filter(~digest).unionByName(at.mapInPandas(write, found.schema))
 
 
 def templates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,7 +356,8 @@ def templates(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     seeds = cut(_seeds(segments).filter("kind <> 'blank'"))
     found = _alignments(documents, seeds, key, text).groupBy("template").agg(F.countDistinct(key).alias("records"), F.countDistinct("filling").alias("fillings"))
     kinds = seeds.groupBy("template").agg(F.min("kind").alias("kind"))
-    return found.filter("fillings > 1").join(kinds, "template").select(F.replace("template", F.lit(SLOT), F.lit(" * ")).alias("template"), "kind", "records", "fillings")
+    several = cut(found.filter("fillings > 1").join(kinds, "template").select("template", "kind", "records", "fillings"))
+    return _written(several, segments).select(F.replace("template", F.lit(SLOT), F.lit(" * ")).alias("template"), "kind", "records", "fillings")
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
